@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, toxicity, zstd_models
 
 
 def queries() -> dict:
     return {
+        "op4_toxicity": toxicity.query,
+        "op7_quality": zstd_models.query_quality,
         "op8_exact_dedup": exact_dedup.query,
         "op9_byte_bpe": bpe.query,
+        "op10_language": zstd_models.query_language,
     }
 
 
