@@ -2,8 +2,8 @@
 
 Encoding one pre-token: every adjacent pair whose joined bytes have a merge rank
 is filed in the bucket of that rank, which holds positions of a doubly linked list
-of tokens. A three-level bitmap over the ranks finds the next occupied bucket by
-find-first-set. Taking a position whose pair has changed since it was filed is a
+of tokens. A two-level bitmap over the ranks (blocks of 256 ranks, ranks of a block)
+finds the next occupied bucket by find-first-set. Taking a position whose pair has changed since it was filed is a
 stale entry and is skipped. Each merge files at most two new pairs, so a pre-token
 of n bytes needs O(n log n) steps however long it is.
 
@@ -29,89 +29,79 @@ from . import common
 from .pretokens import ChunkCache, chunks
 
 
-class RankQueue:
-    """Merge ranks in use, smallest first: bit sets of 64 ranks, of 64 sets, and of those."""
-
-    __slots__ = ("buckets", "low", "mid", "top")
-
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
-        self.top = 0
-
-    def file(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-        self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
-
-    def first(self) -> int:
-        """The smallest occupied rank, or -1."""
-        top = self.top
-        if not top:
-            return -1
-        b = (top & -top).bit_length() - 1
-        bits = self.mid[b]
-        a = b << 6 | (bits & -bits).bit_length() - 1
-        bits = self.low[a]
-        return a << 6 | (bits & -bits).bit_length() - 1
-
-    def take(self, rank: int) -> int:
-        """The leftmost position of an occupied rank; an emptied bucket leaves the bitmaps."""
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            a, b = rank >> 6, rank >> 12
-            self.low[a] &= ~(1 << (rank & 63))
-            if not self.low[a]:
-                self.mid[b] &= ~(1 << (a & 63))
-                if not self.mid[b]:
-                    self.top &= ~(1 << b)
-        return position
-
-
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: lowest rank first, leftmost first among equal ranks."""
+    """Ids of one pre-token: lowest rank first, leftmost first among equal ranks.
+
+    `high` has a bit for each block of 256 ranks in use, `low[block]` a bit for each
+    rank of the block, `buckets[rank]` a heap of positions. The queue is written out
+    here, not a class, as this is the inner loop.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
     end = list(range(1, n + 1))  # of the token that starts here
-    before = list(range(-1, n - 1))  # start of the token before
-    filed = [-1] * n  # rank of the pair that starts here, as last filed
-    queue = RankQueue()
-    get, file = ranks.get, queue.file
+    before = list(range(-1, n))  # start of the token before; one more for the end
+    filed = [-1] * (n + 1)  # rank of the pair that starts here, as last filed
+    get = ranks.get
+    buckets: dict[int, list[int]] = {}
+    low: dict[int, int] = {}
+    high = 0
     for i in range(n - 1):
         r = get(piece[i:i + 2])
         if r is not None:
             filed[i] = r
-            file(r, i)
-    while (rank := queue.first()) >= 0:
-        i = queue.take(rank)
+            if r in buckets:
+                buckets[r].append(i)  # ascending positions are a heap
+            else:
+                buckets[r] = [i]
+                b = r >> 8
+                low[b] = low.get(b, 0) | 1 << (r & 255)
+                high |= 1 << b
+    while high:
+        b = (high & -high).bit_length() - 1
+        bits = low[b]
+        bit = bits & -bits
+        rank = b << 8 | bit.bit_length() - 1
+        bucket = buckets[rank]
+        if len(bucket) > 1:
+            i = heappop(bucket)
+        else:
+            i = bucket[0]
+            del buckets[rank]
+            if bits == bit:
+                del low[b]
+                high ^= 1 << b
+            else:
+                low[b] = bits ^ bit
         if filed[i] != rank:
             continue  # stale
         j = end[i]
         k = end[i] = end[j]
-        filed[j] = filed[i] = -1
-        if k < n:
-            before[k] = i
-            r = get(piece[i:end[k]])
-            if r is not None:
-                filed[i] = r
-                file(r, i)
-        h = before[i]
-        if h >= 0:
+        filed[j] = -1
+        before[k] = i
+        r = get(piece[i:end[k]]) if k < n else None
+        filed[i] = -1 if r is None else r
+        if r is not None:
+            if r in buckets:
+                heappush(buckets[r], i)
+            else:
+                buckets[r] = [i]
+                b = r >> 8
+                low[b] = low.get(b, 0) | 1 << (r & 255)
+                high |= 1 << b
+        if i:
+            h = before[i]
             r = get(piece[h:k])
             filed[h] = -1 if r is None else r
             if r is not None:
-                file(r, h)
+                if r in buckets:
+                    heappush(buckets[r], h)
+                else:
+                    buckets[r] = [h]
+                    b = r >> 8
+                    low[b] = low.get(b, 0) | 1 << (r & 255)
+                    high |= 1 << b
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i:end[i]]])
@@ -133,11 +123,17 @@ class Codec:
         self.id_of = {v: v for v in ranks.values()}  # one object per id, shared by all cached tuples
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.cache = ChunkCache(self._chunk)
+        self.cache = ChunkCache(self._chunk, 150_000)
+        self.pieces = ChunkCache(self._piece, 300_000)
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        return tuple(map(self.id_of.__getitem__, merge_piece(piece.encode(), self.ranks)))
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        ranks, id_of = self.ranks, self.id_of
-        return tuple(id_of[x] for p in self.find(chunk) for x in merge_piece(p.encode(), ranks))
+        found = self.find(chunk)
+        if len(found) == 1:
+            return self.pieces[chunk]
+        return tuple(chain.from_iterable(map(self.pieces.__getitem__, found)))
 
     def encode(self, text: str) -> Iterator[int]:
         return chain.from_iterable(map(self.cache.__getitem__, chunks(text)))

@@ -50,6 +50,6 @@ class ChunkCache(dict):
         if len(chunk) <= CACHE_CHUNK_LEN:
             if len(self) >= self._most:
                 self._old = dict(self)
-                self.clear()
+                self.clear()  # the same object stays in use by its callers
             self[chunk] = ids
         return ids

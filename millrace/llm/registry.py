@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, toxicity, zstd_models
+from . import bpe, exact_dedup, simhash, toxicity, url_cascade, zstd_models
 
 
 def queries() -> dict:
     return {
+        "op2_simhash": simhash.query,
+        "op3_url_cascade": url_cascade.query,
         "op4_toxicity": toxicity.query,
         "op7_quality": zstd_models.query_quality,
         "op8_exact_dedup": exact_dedup.query,
@@ -17,5 +19,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_url_cascade": url_cascade.ORACLE,
         "op8_exact_dedup": exact_dedup.ORACLE,
     }
