@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, simhash, toxicity, url_cascade, zstd_models
+from . import bpe, decontaminate, exact_dedup, simhash, toxicity, url_cascade, zstd_models
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_simhash": simhash.query,
         "op3_url_cascade": url_cascade.query,
         "op4_toxicity": toxicity.query,
+        "op6_winnowing": decontaminate.query,
         "op7_quality": zstd_models.query_quality,
         "op8_exact_dedup": exact_dedup.query,
         "op9_byte_bpe": bpe.query,
@@ -20,5 +21,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_cascade": url_cascade.ORACLE,
+        "op6_winnowing": decontaminate.ORACLE,
         "op8_exact_dedup": exact_dedup.ORACLE,
     }
