@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, simhash, toxicity, url_cascade, zstd_models
+from . import bpe, decontaminate, exact_dedup, simhash, suffix_tree, toxicity, url_cascade, zstd_models
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_tree": suffix_tree.query,
         "op2_simhash": simhash.query,
         "op3_url_cascade": url_cascade.query,
         "op4_toxicity": toxicity.query,
