@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, simhash, suffix_tree, toxicity, url_cascade, zstd_models
+from . import bpe, decontaminate, exact_dedup, simhash, suffix_tree, token_files, toxicity, url_cascade, zstd_models
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_simhash": simhash.query,
         "op3_url_cascade": url_cascade.query,
         "op4_toxicity": toxicity.query,
+        "op5_repair_tokens": token_files.query,
         "op6_winnowing": decontaminate.query,
         "op7_quality": zstd_models.query_quality,
         "op8_exact_dedup": exact_dedup.query,
