@@ -67,6 +67,11 @@ def _windows(df: DataFrame, length: int, keep: Column | None, *carry: str) -> Da
     return df.select(*carry, F.lit(length).alias("len"), F.inline(spans))
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Names a row by id and text; repeated rows share it and are judged alike."""
+    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+
+
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
     spark = docs.sparkSession
@@ -85,8 +90,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         windows = windows.unionByName(t)
     windows = kept(windows.select("mark", "span", "item").distinct(), "windows")
 
-    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("_id"), key.alias("_k"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_k"), F.col(text_col).alias("_text"))
     prints = rows.select("_id", "_k", words(F.col("_text")).alias("_w"))
     for n in lengths:
         prints = _with_minima(prints, "_w", n, f"_m{n}")
@@ -120,13 +124,13 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
             F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
             F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
             F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
-            (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+            (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.col("_k").alias("row_key"),
         )
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contamination(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row_key")
 
 
 ORACLE = r"""

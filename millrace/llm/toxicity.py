@@ -167,6 +167,23 @@ def score(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id",
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, per_label: int = PER_LABEL) -> DataFrame:
+    """The rows, with all their columns, whose score stays below the threshold; all labels teach."""
+    fitted = fit(docs, labels, F.lit(False), id_col, text_col, label_col, per_label)
+    if fitted is None:
+        return docs
+    shipped = docs.sparkSession.sparkContext.broadcast(fitted)
+
+    def run(batches):
+        model, curve = shipped.value
+        for batch in common.slices(batches):
+            texts = common.texts_of(batch.column(batch.schema.get_field_index(text_col)))
+            below = [squash(curve[0] * feature(model, words(t)) + curve[1]) < threshold for t in texts]
+            yield batch.filter(pa.array(below))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score(common.documents(spark, sf_dir), labels, common.remainder("doc_id", 4) == 2)
