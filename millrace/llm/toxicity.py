@@ -35,11 +35,11 @@ from .sampling import fit_logistic, labelled_sample, squash
 #: Sampled texts for each label; three quarters are counted, the rest calibrates.
 PER_LABEL = 2500
 #: Taken off each class's counts per square root of the count (its sampling error), and at least.
-ORDINARY_DISCOUNT, TOXIC_DISCOUNT, LEAST_DISCOUNT = 0.5, 2.0, 0.75
+ORDINARY_DISCOUNT, TOXIC_DISCOUNT, LEAST_DISCOUNT = 0.5, 1.5, 0.75
 #: Smallest log-ratio that is evidence.
 DEAD_ZONE = 1.5
 #: Share of toxic rows for which the curve is fitted.
-PRIOR = 0.2
+PRIOR = 0.12
 
 #: ASCII letters in lower case, digits and bytes of other scripts stay; the rest separates.
 _WORD_BYTES = bytes(
