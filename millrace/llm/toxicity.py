@@ -32,14 +32,15 @@ from pyspark.sql import functions as F
 from . import common
 from .sampling import fit_logistic, labelled_sample, squash
 
-#: Sampled texts for each label; three quarters are counted, the rest calibrates.
+#: Sampled texts for each label; the curve is fitted on a quarter that its model has not counted,
+#: then the models are counted on all of them.
 PER_LABEL = 2500
 #: Taken off each class's counts per square root of the count (its sampling error), and at least.
 ORDINARY_DISCOUNT, TOXIC_DISCOUNT, LEAST_DISCOUNT = 0.5, 1.5, 0.75
 #: Smallest log-ratio that is evidence.
 DEAD_ZONE = 1.5
 #: Share of toxic rows for which the curve is fitted.
-PRIOR = 0.12
+PRIOR = 0.2
 
 #: ASCII letters in lower case, digits and bytes of other scripts stay; the rest separates.
 _WORD_BYTES = bytes(
@@ -81,7 +82,7 @@ class KneserNey:
         def word(c: int, w: bytes) -> float:
             return kept[c].get(w, 0.0) / max(total[c], 1) + rest[c] * shared(w)
 
-        self.unseen = 0.0 if min(rest) <= 0 else evidence(math.log(rest[1] / rest[0]))
+        self.unseen = 0.0  # both models back off to the same: unequal discounts are not evidence
         self.word = {w: evidence(math.log(word(1, w) / word(0, w))) for w in kept[0].keys() | kept[1].keys()}
         mass: list[dict[bytes, float]] = [defaultdict(float), defaultdict(float)]
         seen: list[dict[bytes, float]] = [defaultdict(float), defaultdict(float)]
@@ -90,8 +91,6 @@ class KneserNey:
                 seen[c][a] += n
                 mass[c][a] += left(n, c)
         back = [{a: 1 - m / seen[c][a] for a, m in mass[c].items()} for c in (0, 1)]
-        self.after = {a: evidence(math.log(max(back[1].get(a, 1.0), 1e-9) / max(back[0].get(a, 1.0), 1e-9))) for a in back[0].keys() | back[1].keys()}
-
         types = Counter(a for a, _ in pair[0].keys() | pair[1].keys())
 
         def follow(c: int, a: bytes, b: bytes) -> float:
@@ -105,21 +104,17 @@ class KneserNey:
         for c in (0, 1):
             for (a, b), n in pair[c].items():
                 if left(n, c) and (a, b) not in self.pair:
-                    change = evidence(math.log(follow(1, a, b) / follow(0, a, b))) - self.after.get(a, 0.0) - self.word.get(b, self.unseen)
+                    change = evidence(math.log(follow(1, a, b) / follow(0, a, b))) - self.word.get(b, self.unseen)
                     if change:
                         self.pair[a, b] = change
-        for table in (self.word, self.after):
-            for k in [k for k, v in table.items() if v == 0.0]:
-                del table[k]
+        self.word = {w: v for w, v in self.word.items() if v}
 
     def ratio(self, w: list[bytes]) -> float:
         """Log-likelihood ratio over the distinct word pairs (and the first word) of a text."""
         pairs = set(zip(w, w[1:]))
         ratio = self.word.get(w[0], self.unseen) if w else 0.0
         if pairs:
-            first, second = zip(*pairs)
-            ratio += sum(map(self.word.get, second, repeat(self.unseen)))
-            ratio += sum(map(self.after.get, first, repeat(0.0))) if self.after else 0.0
+            ratio += sum(self.word.get(b, self.unseen) for _, b in pairs)
             ratio += sum(map(self.pair.get, pairs, repeat(0.0)))
         return ratio
 
@@ -142,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, id_col: str, text_col: str
     rest = [(feature(model, w), k) for k in (0, 1) for w in by[k][cut[k]:] or by[k]]
     x, y = np.array([r[0] for r in rest]), np.array([r[1] for r in rest], float)
     curve = [float(v) for v in fit_logistic(x[:, None], y, prior=PRIOR, ridge=1e-2)]
-    return model, curve
+    return KneserNey((k, w) for k in (0, 1) for w in by[k]), curve  # counted anew on the whole sample
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, per_label: int = PER_LABEL) -> DataFrame:
