@@ -40,24 +40,30 @@ TAU, SEGMENTS, WIDTH = 3, 8, 8
 DIRECT = 1024
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """Majority of XXH64 (seed 42) over word shingles."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles, repeats included; of fewer words, of all of them."""
     w = text.lower().split()
-    if not w:
-        return 0
     if len(w) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(w), 42)]
-    else:
-        line, digest = b" ".join(w), xxhash.xxh64_intdigest
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-        begin = [0, *ends[:-shingle].tolist()]
-        hashes = [digest(line[a:b], 42) for a, b in zip(begin, (ends[shingle - 1:] - 1).tolist())]
-    bits = np.zeros(64, np.int64)
-    values = np.array(hashes, "<u8")
-    for at in range(0, len(values), 65536):  # bounds the unpacked bits of very long texts
-        bits += np.unpackbits(values[at:at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    majority = np.packbits(bits * 2 > len(hashes), bitorder="little")
-    return int(majority.view("<u8")[0])
+        return np.array([xxhash.xxh64_intdigest(b" ".join(w), 42)] if w else [], "<u8")
+    line, digest = b" ".join(w), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+    begin = [0, *ends[:-shingle].tolist()]
+    return np.array([digest(line[a:b], 42) for a, b in zip(begin, (ends[shingle - 1:] - 1).tolist())], "<u8")
+
+
+def majority(values: np.ndarray) -> np.ndarray:
+    """Of (n, k) words of 64 bits, the k words of bits that more than half of the rows set."""
+    n, k = values.shape
+    bits = np.zeros(64 * k, np.int64)
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(n, 8 * k)
+    for at in range(0, n, 255):  # 255 ones fit a byte, so that the sums stay in narrow lanes
+        bits += np.unpackbits(raw[at:at + 255], axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(bits * 2 > n, bitorder="little").view("<u8")
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """Majority of XXH64 (seed 42) over word shingles."""
+    return int(majority(shingle_hashes(text, shingle)[:, None])[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

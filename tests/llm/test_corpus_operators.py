@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 public = pytest.importorskip("public_tokenizers")
 
-from millrace.llm import bpe, common, components, decontaminate, exact_dedup, registry, simhash, suffix_tree, token_files, toxicity, url_cascade, zstd_models  # noqa: E402
+from millrace.llm import bpe, common, components, decontaminate, exact_dedup, registry, similar, simhash, suffix_tree, token_files, toxicity, url_cascade, zstd_models  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, _k long, score string"
 RNG = random.Random(5)
@@ -285,10 +285,6 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         before, after = by_id(left), by_id(out)
         assert after.keys() <= before.keys()
         gone = {i: r["text"] for i, r in before.items() if i not in after}
-        if check == "toxic":
-            toxic = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
-            clean = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 0").collect()}
-            assert len(clean & gone.keys()) <= 0.05 * len(clean) and len(toxic & gone.keys()) >= 0.7 * len(toxic)
         if check == "copies":
             norm = {i: " ".join(text_of(r["text"]).decode().split(" ")) for i, r in before.items()}
             first = {}
@@ -296,14 +292,57 @@ def test_pipeline_against_brute_force(spark, tmp_path):
                 first.setdefault(norm[i], i)
             assert set(after) <= set(first.values()) | set(after) and all(first[norm[i]] != i or i in after for i in norm)
         if check == "near":
-            fps = {i: brute_fingerprint(r["text"], 5) for i, r in before.items()}
+            grams = {i: set(five_words(r["text"])) for i, r in before.items()}
+            close = {(i, j) for i in before for j in before if i < j and (grams[i] or grams[j]) and len(grams[i] & grams[j]) >= 0.85 * len(grams[i] | grams[j])}
+            assert not any(i in after and j in after for i, j in close)  # one of each pair went
             for i in gone:
-                assert any(j != i and (fps[i] ^ fps[j]).bit_count() <= 3 for j in fps)
+                assert any(j != i and len(grams[i] & grams[j]) >= 0.5 * len(grams[i] | grams[j]) for j in grams)
         left = spark.createDataFrame(out.collect(), docs.schema)
     assert corpus_pipeline.STAGES[4][1](spark, left, sf).count() == left.count()
     assert corpus_pipeline.run(spark, sf).count() == left.count()
 
 
+def test_pipeline_drops_toxic_documents(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    before = by_id(spark.read.parquet(f"{sf}/documents.parquet"))
+    gone = before.keys() - by_id(corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)).keys()
+    toxic = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
+    clean = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 0").collect()}
+    assert len(clean & gone) <= 0.05 * len(clean) and len(toxic & gone) >= 0.7 * len(toxic)
+
+
+def five_words(text):
+    w = text_of(text).lower().split()
+    return [b" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))]
+
+
+@pytest.mark.parametrize("block", [similar.BLOCK, 8])
+def test_similar_against_brute_force(spark, docs, empty, block, monkeypatch):
+    rng = random.Random(3)
+    base = [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(120)]
+    rows = [(5000 + k, " ".join(w if rng.random() > 0.012 else w + "x" for w in base)) for k in range(60)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] for r in df.collect() if r["doc_id"] is not None}
+    monkeypatch.setattr(similar, "BLOCK", block)
+    plain = similar.links
+    monkeypatch.setattr(similar, "links", lambda distinct, most: plain(distinct, most, block))
+    got = {r["doc_id"]: r["component_id"] for r in similar.classes(df).collect()}
+    grams = {i: set(five_words(t)) for i, t in texts.items()}
+    share = lambda i, j: len(grams[i] & grams[j]) / len(grams[i] | grams[j])
+    close = [(i, j) for i in grams for j in grams if i < j and share(i, j) >= 0.85]
+    assert len(close) > 200 and all(got[i] == got[j] for i, j in close)
+    for i in grams:
+        if got[i] != i:
+            assert any(j != i and share(i, j) >= 0.5 for j in grams)
+    fps = {i: similar.wide(text_of(t), 5) for i, t in texts.items()}
+    for i in grams:
+        wanted = [j for j in grams if np.bitwise_count(fps[i] ^ fps[j]).sum() <= similar.tau(0.8)]
+        assert set(similar.near(np.array(list(fps.values())), fps[i], similar.tau(0.8)).tolist()) == {n for n, j in enumerate(fps) if j in wanted}
+    assert similar.classes(empty).count() == 0
+
+
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
     assert registry.oracle_sql().keys() <= registry.queries().keys()
