@@ -41,6 +41,8 @@ from .pretokens import CACHE_CHUNK_LEN, chunks
 SHARD_IDS = 1 << 20
 #: Rounds of replacement, rules of a round and occurrences a rule needs.
 ROUNDS, RULES_A_ROUND, LEAST = 6, 256, 16
+#: Distinct chunks remembered per worker.
+CACHE_CHUNKS = 1_000_000
 MAGIC = b"RPG1"
 
 
@@ -51,17 +53,21 @@ def _counted(seq: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _replace(seq: np.ndarray, base: int, pairs: np.ndarray, names: np.ndarray) -> np.ndarray:
     """Every occurrence of the pairs (sorted), left to right, by its name."""
-    key = seq[:-1].astype(np.int64) * base + seq[1:]
+    first, last = np.zeros(base, bool), np.zeros(base, bool)
+    first[pairs // base], last[pairs % base] = True, True
+    where = np.flatnonzero(first[seq[:-1]] & last[seq[1:]])  # the few positions worth a search
+    key = seq[where].astype(np.int64) * base + seq[where + 1]
     at = np.searchsorted(pairs, key)
     at[at == len(pairs)] = 0
     hit = pairs[at] == key
-    where = np.flatnonzero(hit)
+    where, at = where[hit], at[hit]
     if len(where):  # only a pair of equal symbols can overlap itself: keep every second of a run
         run = np.r_[True, np.diff(where) != 1]
         begin = np.maximum.accumulate(np.where(run, np.arange(len(where)), 0))
-        where = where[(np.arange(len(where)) - begin) % 2 == 0]
+        keep = (np.arange(len(where)) - begin) % 2 == 0
+        where, at = where[keep], at[keep]
     out = seq.copy()
-    out[where] = names[at[where]]
+    out[where] = names[at]
     gone = np.ones(len(seq), bool)
     gone[where + 1] = False
     return out[gone]
@@ -144,19 +150,35 @@ class _Encoder:
 
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def many(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.known) > 400_000:
-            self.known.clear()
-        cut = [chunks(t) for t in texts]
-        new = list({c for parts in cut for c in parts if c not in self.known})
+        if len(self.known) > CACHE_CHUNKS:
+            self.known = {}
         found = self.known
-        extra = {}
-        for c, e in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False)):
-            (found if len(c) <= CACHE_CHUNK_LEN else extra)[c] = tuple(e.ids)
+        cut = [chunks(t) for t in texts]
+        new = list(set().union(*cut).difference(found))
+        long = []
+        for at in range(0, len(new), 4096):
+            part = new[at:at + 4096]
+            for c, e in zip(part, self.tool.encode_batch_fast(part, add_special_tokens=False)):
+                found[c] = np.array(e.ids, "<u4").tobytes()
+                if len(c) > CACHE_CHUNK_LEN:
+                    long.append(c)
         for parts in cut:
-            yield np.fromiter((i for c in parts for i in (found[c] if c in found else extra[c])), np.uint32)
+            yield np.frombuffer(b"".join(map(found.__getitem__, parts)), "<u4")
+        for c in long:
+            del found[c]
+
+
+_encoders: dict[str, _Encoder] = {}
+
+
+def _encoder(path: str) -> _Encoder:
+    """The worker's encoder; built once per worker and reused by its later tasks."""
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    return _encoders[path]
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
@@ -168,7 +190,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_c
     names = ["partition", "shard", "offset", "doc_ids", "lengths", "payload"]
 
     def run(batches):
-        tool, part = _Encoder(tokenizer_path), TaskContext.get().partitionId()
+        tool, part = _encoder(tokenizer_path), TaskContext.get().partitionId()
         ids, lengths, flat, held, offset, shard = [], [], [], 0, 0, 0
 
         def flush():
