@@ -15,9 +15,8 @@ Only the id and text columns are read, so other columns of any name do not matte
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .pretokens import ChunkCache, chunks
+from .pretokens import ChunkCache
+
+#: Distinct pre-tokens remembered per worker; beyond it the older half is forgotten.
+CACHE_PIECES = 400_000
+#: Characters up to which the pre-tokens of a text are listed at once.
+LISTED = 1 << 20
 
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -120,23 +124,23 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.id_of = {v: v for v in ranks.values()}  # one object per id, shared by all cached tuples
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.find = regex.compile(pattern).findall
-        self.cache = ChunkCache(self._chunk, 150_000)
-        self.pieces = ChunkCache(self._piece, 300_000)
+        self.find = regex.compile(pattern)
+        self.pieces = ChunkCache(self._piece, CACHE_PIECES)
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        return tuple(map(self.id_of.__getitem__, merge_piece(piece.encode(), self.ranks)))
+    def _piece(self, piece: str) -> bytes:
+        return np.array(merge_piece(piece.encode(), self.ranks), "<i4").tobytes()
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        found = self.find(chunk)
-        if len(found) == 1:
-            return self.pieces[chunk]
-        return tuple(chain.from_iterable(map(self.pieces.__getitem__, found)))
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit integers."""
+        if len(text) <= LISTED:
+            found = self.find.findall(text)
+        else:
+            found = (m.group() for m in self.find.finditer(text))
+        return b"".join(map(self.pieces.__getitem__, found))
 
-    def encode(self, text: str) -> Iterator[int]:
-        return chain.from_iterable(map(self.cache.__getitem__, chunks(text)))
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.packed(text), "<i4")
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -158,13 +162,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches):
         tok = codec(ranks_path, pattern)
         for batch in common.slices(batches, 256):
-            flat, ends = [], [0]
-            for text in batch.column(1).to_pylist():
-                part = np.fromiter(tok.encode(text or ""), np.int32)
-                flat.append(part)
-                ends.append(ends[-1] + len(part))
-            values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=[id_col, "ids"])
+            packed = [tok.packed(text or "") for text in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, packed)]) // 4
+            values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
