@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterable
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +70,12 @@ class KneserNey:
         for label, w in texts:
             single[label].update(set(w))
             pair[label].update(set(zip(w, w[1:])))
-        before = Counter(b for _, b in pair[0].keys() | pair[1].keys())
+
+        def either() -> Iterable[tuple[bytes, bytes]]:
+            """Each distinct pair once, without a set of all of them."""
+            return chain(pair[0], (p for p in pair[1] if p not in pair[0]))
+
+        before = Counter(b for _, b in either())
         shared_total = sum(before.values()) + len(single[0].keys() | single[1].keys()) + 1
         total = [sum(c.values()) for c in single]
         kept = [{w: m for w, n in c.items() if (m := left(n, k))} for k, c in enumerate(single)]
@@ -91,7 +96,7 @@ class KneserNey:
                 seen[c][a] += n
                 mass[c][a] += left(n, c)
         back = [{a: 1 - m / seen[c][a] for a, m in mass[c].items()} for c in (0, 1)]
-        types = Counter(a for a, _ in pair[0].keys() | pair[1].keys())
+        types = Counter(a for a, _ in either())
 
         def follow(c: int, a: bytes, b: bytes) -> float:
             """Class pair, then the shared pair, then the class's word."""
@@ -128,13 +133,15 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, id_col: str, text_col: str
     """The two models and the curve, or None where the labels do not show both classes."""
     known = labels.select(F.col(id_col).alias("_lid"), F.col(label_col).cast("int").alias("_label")).where(F.col("_label").isin(0, 1))
     train = docs.select(id_col, text_col).where(~held_out).join(known, F.col(id_col) == F.col("_lid"))
-    sample = [(label, words((text or "").encode())) for _, label, text in labelled_sample(train, "_label", id_col, text_col, per_label)]
+    one: dict[bytes, bytes] = {}  # equal words are one object
+    sample = [(label, [one.setdefault(x, x) for x in words((text or "").encode())]) for _, label, text in labelled_sample(train, "_label", id_col, text_col, per_label)]
     by = {k: [w for label, w in sample if label == k] for k in (0, 1)}
     if not all(by.values()):
         return None
     cut = {k: max(1, len(v) * 3 // 4) for k, v in by.items()}
     model = KneserNey((k, w) for k in (0, 1) for w in by[k][:cut[k]])
     rest = [(feature(model, w), k) for k in (0, 1) for w in by[k][cut[k]:] or by[k]]
+    del model  # before the next one is counted
     x, y = np.array([r[0] for r in rest]), np.array([r[1] for r in rest], float)
     curve = [float(v) for v in fit_logistic(x[:, None], y, prior=PRIOR, ridge=1e-2)]
     return KneserNey((k, w) for k in (0, 1) for w in by[k]), curve  # counted anew on the whole sample
