@@ -13,18 +13,24 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def _lowest(links: DataFrame) -> DataFrame:
+    """(k, m): the smallest v of each u. The key is an expression, so that a join on it shuffles
+    the links by themselves and Spark can split a hub with very many of them."""
+    return links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").bitwiseOR(F.lit(0).cast("long")).alias("k"), "m")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = _lowest(both).select("k", F.least("k", "m").alias("m"))
+    return both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    low = _lowest(down)
     return (
-        down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .union(low.select("u", F.col("m").alias("v"))).distinct()
+        down.join(low, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        .union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
     )
 
 
