@@ -219,8 +219,10 @@ def near_classes(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     rows = spark.read.parquet(path)
     distinct = rows.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")).where("rep IS NOT NULL")
     roots = components(links(distinct))
-    named = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return rows.join(named, "fp", "left").select(id_col, "fp", "component_id")
+    # the key is an expression, so that both sides of the join are shuffled for it and a fingerprint of very many rows can be split
+    key = F.col("fp").bitwiseOR(F.lit(0).cast("long")).alias("_k")
+    named = distinct.join(roots, distinct.rep == roots.node, "left").select(key, F.coalesce("root", "rep").alias("component_id"))
+    return rows.join(named, F.col("fp") == F.col("_k"), "left").select(id_col, "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
