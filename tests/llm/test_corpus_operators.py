@@ -346,3 +346,29 @@ def test_similar_against_brute_force(spark, docs, empty, block, monkeypatch):
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
     assert registry.oracle_sql().keys() <= registry.queries().keys()
+
+
+@pytest.mark.parametrize("exact", [similar.EXACT, 8])
+def test_similar_links_only_at_the_similarity(spark, exact, monkeypatch):
+    monkeypatch.setattr(similar, "EXACT", exact)
+    rng = random.Random(8)
+    rows = []
+    for k in range(30):  # texts that share most of a long passage: pairs from far below 0.8 to above
+        base = [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(200)]
+        for cut in (0, 6, 14, 24, 34, 44):
+            rows.append((len(rows), " ".join(base[:200 - cut] + [rng.choice(WORDS) + "y" for _ in range(cut)])))
+    got = {r["doc_id"]: r["component_id"] for r in similar.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    grams = {i: set(five_words(t)) for i, t in rows}
+    share = lambda i, j: len(grams[i] & grams[j]) / len(grams[i] | grams[j])
+    up = {i: i for i in grams}
+    for i in grams:
+        for j in range(i):
+            if share(i, j) >= 0.8:
+                old, new = max(up[i], up[j]), min(up[i], up[j])
+                up = {k: new if x == old else x for k, x in up.items()}
+    low = [(i, j) for i in grams for j in range(i) if 0.6 <= share(i, j) < 0.8]
+    assert len(low) > 60
+    for i in grams:  # nothing is linked that brute force at 0.8 keeps apart
+        assert up[got[i]] == up[i]
+    sure = [(i, j) for i in grams for j in range(i) if share(i, j) >= 0.85]
+    assert sure and all(got[i] == got[j] for i, j in sure)
