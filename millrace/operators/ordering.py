@@ -8,6 +8,7 @@ are numbered inside each range. No window runs over all rows in one task.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,8 @@ from ..functions.exprs import ColumnLike, col, valid
 
 #: Value ranges that a column is dealt into for global positions.
 RANGES = 64
+#: Query rows of a nearest search that are broadcast at a time, about.
+QUERY_BLOCK = 5000
 
 
 def buckets_of(df: DataFrame, c: str, n: int = RANGES) -> list[float]:
@@ -211,13 +214,19 @@ def rank(df: DataFrame, c: str, row_id: str, method: str = "average", out: str =
 
 
 def pairwise_nearest(queries: DataFrame, points: DataFrame, distance, k: int, query_id: str, point_id: str) -> DataFrame:
-    """The k nearest points of each query row; the query side is a stated set, compared in blocks.
+    """The k nearest points of each query row; any number of query rows, compared in blocks.
 
-    Queries are broadcast only after their number has been checked to be small.
+    Blocks are cut by a hash of the query id, about QUERY_BLOCK rows each, and broadcast one
+    by one; rows of equal id share a block. Within a task only the k best of a query leave it.
     """
-    n = queries.limit(10_001).count()
-    if n > 10_000:
-        raise ValueError("more than 10,000 query rows: pass them in blocks")
-    pairs = points.join(F.broadcast(queries), F.lit(True)).withColumn("distance", distance)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     w = Window.partitionBy(query_id).orderBy("distance", point_id)
-    return pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).select(query_id, point_id, "distance", F.col("_rn").cast("long").alias("nearest"))
+
+    def best(q: DataFrame) -> DataFrame:
+        pairs = points.join(F.broadcast(q), F.lit(True)).withColumn("distance", distance)
+        return pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).select(query_id, point_id, "distance", F.col("_rn").cast("long").alias("nearest"))
+
+    if blocks == 1:
+        return best(queries)
+    of = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [best(queries.where(of == b)) for b in range(blocks)])

@@ -160,3 +160,15 @@ def test_check_array(spark):
 def test_plans_stay_native(spark):
     plan = ordering.topk(frame(spark, [1.0, 2.0]), "x", 1)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan and "Python" not in plan
+
+
+def test_nearest_of_many_queries(spark):
+    queries = spark.range(10_050).select(F.col("id").alias("q"), (F.col("id") % 4 + 0.1).alias("a"))
+    points = spark.createDataFrame([(i, float(i)) for i in range(4)], "p long, b double")
+    out = ordering.pairwise_nearest(queries, points, F.abs(F.col("a") - F.col("b")), 2, "q", "p")
+    assert "WindowGroupLimit" in out._jdf.queryExecution().toString()
+    rows = out.collect()
+    assert len(rows) == 2 * 10_050
+    for r in rows:
+        m = r["q"] % 4
+        assert r["p"] == (m if r["nearest"] == 1 else m + 1 if m < 3 else 2)
