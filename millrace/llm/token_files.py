@@ -2,7 +2,8 @@
 
 Documents are range-partitioned by id and sorted, encoded with a public tokenizer, ended
 by an end id, and cut into shards of SHARD_IDS ids. Each shard is compressed by Re-Pair:
-the most frequent adjacent id pairs are replaced by new symbols, again and again, and
+the most frequent adjacent id pairs are replaced by new symbols until no pair occurs
+LEAST times, and
 rules and expansion lengths are stored, so that any span of ids is decoded by finding
 its symbols in the running sum of expansion lengths, without the rest of the shard.
 
@@ -39,8 +40,8 @@ from . import common
 from .pretokens import CACHE_CHUNK_LEN, chunks
 
 SHARD_IDS = 1 << 20
-#: Rounds of replacement, rules of a round and occurrences a rule needs.
-ROUNDS, RULES_A_ROUND, LEAST = 6, 256, 16
+#: Rules of a round and occurrences a rule needs.
+RULES_A_ROUND, LEAST = 256, 16
 #: Distinct chunks remembered per worker.
 CACHE_CHUNKS = 1_000_000
 MAGIC = b"RPG1"
@@ -79,9 +80,7 @@ def compress(ids: np.ndarray) -> bytes:
     base = int(seq.max()) + 1 if len(seq) else 0
     rules: list[np.ndarray] = []
     made = base
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         pairs, n = _counted(seq, made)
         top = np.argpartition(-n, min(4 * RULES_A_ROUND, len(n)) - 1)[:4 * RULES_A_ROUND]
         top = top[np.lexsort((pairs[top], -n[top]))]

@@ -372,3 +372,11 @@ def test_similar_links_only_at_the_similarity(spark, exact, monkeypatch):
         assert up[got[i]] == up[i]
     sure = [(i, j) for i in grams for j in range(i) if share(i, j) >= 0.85]
     assert sure and all(got[i] == got[j] for i, j in sure)
+
+
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(3)
+    ids = np.minimum(rng.zipf(1.3, 200_000), 5000).astype(np.uint32)
+    s = token_files.Shard(token_files.compress(ids))
+    assert (s.span(0, len(ids)) == ids).all()
+    assert token_files._counted(s.seq, s.base + len(s.rules))[1].max() < token_files.LEAST
