@@ -7,7 +7,7 @@ classes: the words' continuation counts (distinct words before them). Rare expre
 thus get nearly the same probability in both models and carry no evidence; neither do
 log-ratios near zero. An expression counts once a text, in training and in scoring, so
 that a repeated line does not outweigh a text. The difference of the two log-likelihoods divided
-by the square root of the number of words goes through a logistic curve fitted on sample
+by the square root of the number of distinct pairs goes through a logistic curve fitted on sample
 rows that were not counted. (Division by the number itself ranks almost alike, but its
 spread shrinks with the length, so that no one curve suits short and long texts.)
 
@@ -125,8 +125,8 @@ class KneserNey:
 
 
 def feature(model: KneserNey, w: list[bytes]) -> float:
-    """The log-likelihood ratio normalised by the square root of the words, in which its spread grows."""
-    return model.ratio(w) / math.sqrt(max(len(w), 1))
+    """The log-likelihood ratio normalised by the square root of the distinct pairs, in which its spread grows."""
+    return model.ratio(w) / math.sqrt(max(len(set(zip(w, w[1:]))), 1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out, id_col: str, text_col: str, label_col: str, per_label: int):

@@ -380,3 +380,13 @@ def test_repair_leaves_no_frequent_pair():
     s = token_files.Shard(token_files.compress(ids))
     assert (s.span(0, len(ids)) == ids).all()
     assert token_files._counted(s.seq, s.base + len(s.rules))[1].max() < token_files.LEAST
+
+
+def test_repeated_lines_stay_toxic():
+    rng = random.Random(12)
+    clean = [[rng.choice(WORDS).encode() for _ in range(60)] for _ in range(200)]
+    bad = [[rng.choice([b"vile", b"nasty", b"rotten"]) if rng.random() < 0.3 else x for x in w] for w in clean]
+    model = toxicity.KneserNey([(0, w) for w in clean[:150]] + [(1, w) for w in bad[:150]])
+    for w in bad[150:]:
+        once, often = toxicity.feature(model, w), toxicity.feature(model, w * 50)
+        assert once > 0 and often > 0.8 * once
