@@ -24,12 +24,14 @@ are read, so other columns may have any name.
 from __future__ import annotations
 
 import pickle
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -192,7 +194,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         return spark.read.parquet(path)
 
     def tokenise(batches):
-        """Batches of about BATCH_BYTES; one's number is a hash of its rows, the same if a task runs again."""
+        """Batches of about BATCH_BYTES; one's number is a hash of its partition, place and rows, the same if a task runs again."""
+        partition, place = TaskContext.get().partitionId(), 0
         ids, train, lens, tok, vocabulary, held = [], [], [], [], {b"": 0}, 0
 
         def flush():
@@ -200,7 +203,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
             hashes[0] = END_HASH
             arrays = _pack(np.array(train, np.uint8), np.array(lens, np.int64), np.concatenate(tok).astype(np.int32), hashes)
             payload = pickle.dumps((ids, arrays))
-            number = xxhash.xxh64_intdigest(payload) >> 1
+            number = xxhash.xxh64_intdigest(struct.pack("<2q", partition, place) + payload) >> 1
             return pa.RecordBatch.from_arrays(_table([(number, 0, 0, payload)]).combine_chunks().to_batches()[0].columns, names=["batch", "bucket", "kind", "payload"])
 
         for batch in common.slices(batches):
@@ -212,6 +215,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
                 held += len(text) + 64
                 if held >= BATCH_BYTES:
                     yield flush()
+                    place += 1
                     ids, train, lens, tok, vocabulary, held = [], [], [], [], {b"": 0}, 0
         if ids:
             yield flush()

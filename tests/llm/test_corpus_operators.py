@@ -390,3 +390,11 @@ def test_repeated_lines_stay_toxic():
     for w in bad[150:]:
         once, often = toxicity.feature(model, w), toxicity.feature(model, w * 50)
         assert once > 0 and often > 0.8 * once
+
+
+def test_suffix_tree_of_a_table_united_with_itself(spark):
+    rows = [(i, prose(30, random.Random(i))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = suffix_tree.score(df.union(df), F.col("doc_id") % 4 == 0).collect()
+    assert len(out) == 80
+    assert len({(r["doc_id"], r["score"]) for r in out}) == 40
