@@ -6,7 +6,7 @@ makes the text smallest explains it best.
 
 * Quality: the size difference of the bad and the good dictionary, normalised by both
   sizes and by the text's length, goes through a logistic curve fitted on sample rows
-  that are in neither dictionary.
+  that are in neither dictionary, at the labels' true share.
 * Language: the smallest size wins; the score is a soft-min over sizes per byte, and
   `rejected` marks texts whose two best sizes are within `margin` of each other.
 
@@ -14,7 +14,8 @@ Rows: null and empty texts are scored as no bytes (quality: the curve at zero;
 language: `und`, score 0); texts without a letter are `und`; ties between languages go
 to the first name in sorted order; repeated rows give one row each; without any
 labelled row quality is 0.5 and language `und`; an empty table gives an empty one. Only
-the named columns are read, so others may clash. A null or unlearned label is no label.
+the named columns are read, so others may clash. A null or unlearned label is no label;
+an id with both quality labels, or a null id, teaches nothing.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .sampling import fit_logistic, labelled_sample, squash
+from .sampling import fit_logistic, labelled_sample, sample_by_labels, squash
 
-#: Bytes of one dictionary, and of one text's share of it.
-DICT_BYTES = 256 * 1024
-SHARE_BYTES = 512
+#: Bytes of one dictionary; the sampled texts share it evenly, with so many bytes each at least.
+DICT_BYTES = 512 * 1024
+SHARE_BYTES = 64
 LEVEL = 6
 #: Sampled texts for each label: the first part fills dictionaries, the rest calibrates.
 PER_LABEL = 1600
@@ -44,15 +45,18 @@ _LETTER = regex.compile(r"\p{L}")
 
 
 def build_dictionary(texts: list[bytes], most: int = DICT_BYTES) -> bytes:
-    """Raw content: a share of each sampled text, from a place that moves on from text to text."""
-    parts, size = [], 0
-    for i, text in enumerate(texts):
-        at = i * 7919 % max(1, len(text) - SHARE_BYTES)
-        part = text[at:at + SHARE_BYTES]
-        if size + len(part) > most:
-            break
-        parts.append(part)
-        size += len(part)
+    """Raw content: an even share of each sampled text, from a place that moves on from text to text.
+
+    What short texts leave of their share goes to longer ones; no text is left out.
+    """
+    share, room = [0] * len(texts), most
+    for left, i in zip(range(len(texts), 0, -1), sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        share[i] = min(len(texts[i]), max(room // left, SHARE_BYTES))
+        room -= share[i]
+    parts = []
+    for i, (text, n) in enumerate(zip(texts, share)):
+        at = i * 7919 % max(1, len(text) - n)
+        parts.append(text[at:at + n])
     return b"\n".join(reversed(parts))
 
 
@@ -80,9 +84,8 @@ def size_difference(sizes: list[int], n_bytes: int) -> tuple[float, float]:
 def quality(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, per_label: int = PER_LABEL) -> DataFrame:
     """id, held_out, score, predicted. held_out: a boolean column; its rows teach nothing."""
     docs = docs.select(id_col, text_col)
-    known = labels.select(F.col(id_col).alias("_lid"), F.col(label_col).cast("int").alias("_label")).where(F.col("_label").isin(0, 1))
-    train = docs.where(~held_out).join(known, F.col(id_col) == F.col("_lid"))
-    sample = [(label, (text or "").encode()) for _, label, text in labelled_sample(train, "_label", id_col, text_col, per_label)]
+    rows, share = sample_by_labels(docs, labels, held_out, label_col, id_col, text_col, per_label)
+    sample = [(label, (text or "").encode()) for _, label, text in rows]
     by = {k: [t for label, t in sample if label == k] for k in (0, 1)}
     dictionaries, curve = [b"", b""], None
     if all(by.values()):
@@ -91,7 +94,7 @@ def quality(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id"
         sizer = Sizer(dictionaries)
         rest = [(size_difference(sizer(t), len(t)), k) for k in (0, 1) for t in by[k][cut[k]:] or by[k]]
         x, y = np.array([r[0] for r in rest]), np.array([r[1] for r in rest], float)
-        curve = [float(w) for w in fit_logistic(x, y)]
+        curve = [float(w) for w in fit_logistic(x, y, share)]
 
     def run(batches):
         sizer = Sizer(dictionaries)
