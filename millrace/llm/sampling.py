@@ -72,12 +72,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: float | None = None, steps
     if prior is not None and 0 < y.sum() < len(y):
         share = y.mean()
         rows = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((rows * (np.logaddexp(0, z) - y * z)).sum() + ridge * (w @ w) / 2)
+
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (rows * (p - y)) + ridge * w
         hess = (x.T * (rows * p * (1 - p))) @ x + ridge * np.eye(x.shape[1])
         step = np.linalg.solve(hess, grad)
-        w -= step
+        while (then := loss(w - step)) > now and np.abs(step).max() > 1e-8:  # a full step may overshoot
+            step = step / 2
+        w, now = w - step, then
         if np.abs(step).max() < 1e-8:
             break
     return w

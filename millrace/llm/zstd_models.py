@@ -36,6 +36,8 @@ from .sampling import fit_logistic, labelled_sample, sample_by_labels, squash
 DICT_BYTES = 512 * 1024
 SHARE_BYTES = 64
 LEVEL = 6
+#: Size differences in hundredths count up to here, so that copies of a dictionary text do not bend the curve.
+FAR = 4.0
 #: Sampled texts for each label: the first part fills dictionaries, the rest calibrates.
 PER_LABEL = 1600
 #: Relative size difference of the best two languages below which a text is rejected.
@@ -78,7 +80,8 @@ class Sizer:
 def size_difference(sizes: list[int], n_bytes: int) -> tuple[float, float]:
     """bad - good as hundredths of both sizes and of the text: above zero where the good dictionary fits better."""
     bad, good = sizes
-    return 100 * (bad - good) / (bad + good), 100 * (bad - good) / max(n_bytes, 1)
+    of_sizes, of_text = 100 * (bad - good) / (bad + good), 100 * (bad - good) / max(n_bytes, 1)
+    return min(max(of_sizes, -FAR), FAR), min(max(of_text, -FAR), FAR)
 
 
 def quality(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, per_label: int = PER_LABEL) -> DataFrame:
