@@ -30,25 +30,57 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only if none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir, or the session's checkpoint folder.
+
+    Without one, only a session on one machine may go on, in Spark's warehouse folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = jdir.get() if jdir.isDefined() else "/tmp/checkpoints"
+        folder = jdir.get() if jdir.isDefined() else None
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return folder.rstrip("/")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make DataFrame.checkpoint() usable without overriding a folder that is already set."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-
-
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder for a table that cuts lineage."""
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str, gone: list[str] | None = None) -> DataFrame:
+    """The rows, written in the shared folder and read again; the path is added to `gone`."""
+    spark = df.sparkSession
+    path = scratch_path(spark, what)
+    df.write.parquet(path)
+    if gone is not None:
+        gone.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+
+
+def free_name(taken: Iterable[str], base: str) -> str:
+    """A column name that no given one equals, in any case."""
+    taken = {t.lower() for t in taken}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def text_hash(text: Column) -> Column:
+    """128 bits of a text; null differs from the empty text."""
+    return F.when(text.isNull(), F.lit("null")).otherwise(F.md5(text))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that few whole texts are Python objects at any time."""
     for batch in batches:

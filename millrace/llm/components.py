@@ -2,7 +2,8 @@
 
 Each round lets every node's neighbours point at the smallest of them (large star, then
 small star); rounds end when a round changes no link. Links are written to the shared
-checkpoint folder each round, so no lineage grows and a lost executor costs one round.
+checkpoint folder each round, so no lineage grows and a lost executor costs one round; only
+the last round's table stays.
 """
 
 from __future__ import annotations
@@ -38,15 +39,20 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has a link. links: u, v."""
     spark = links.sparkSession
 
+    last: list[str] = []
+
     def kept(df: DataFrame) -> DataFrame:
-        path = common.scratch_path(spark, "links")
-        df.write.parquet(path)
-        return spark.read.parquet(path)
+        """The round's links; the tables of the round before are deleted."""
+        before, now = list(last), []
+        found = common.written(df, "links", now)
+        common.remove(spark, before)
+        last[:] = now
+        return found
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now = kept(_small_star(links))
+    now = kept(_small_star(kept(links)))  # each round reads its links twice
     before = mark(now)
     for _ in range(most_rounds):
         now = kept(_small_star(_large_star(now)))

@@ -68,19 +68,14 @@ def _windows(df: DataFrame, length: int, keep: Column | None, *carry: str) -> Da
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """Names a row by id and text; repeated rows share it and are judged alike."""
-    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    """Names a row by id and text in 128 bits, nulls apart from any value; repeated rows share it and are judged alike."""
+    key = F.col(id_col).cast("string")
+    return F.unhex(F.md5(F.concat(common.text_hash(F.col(text_col)), F.when(key.isNull(), F.lit(" null")).otherwise(F.concat(F.lit(" id "), key)))))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
-    spark = docs.sparkSession
-
-    def kept(df: DataFrame, what: str) -> DataFrame:
-        path = common.scratch_path(spark, what)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
+    kept = common.written
     items = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), words(F.col(item_text)).alias("_w"))
     short = [r[0] for r in items.select(F.size("_w").alias("n")).where((F.col("n") > 0) & (F.col("n") < SPAN)).distinct().collect()]  # at most nine lengths
     lengths = sorted(short) + [SPAN]
@@ -129,6 +124,14 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     )
 
 
+def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows that share no window with an item, with all their columns and no others, whatever their names."""
+    found = contamination(docs, bench, id_col, text_col, item_col, item_text).where("contaminated")
+    key, bad = (common.free_name(docs.columns, n) for n in ("key", "bad"))
+    rows = docs.withColumn(key, row_key(id_col, text_col))
+    return rows.join(found.select(F.col("row_key").alias(bad)).distinct(), F.col(key) == F.col(bad), "left_anti").drop(key)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row_key")
 

@@ -47,11 +47,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; of repeated rows one."""
-    stay = classes(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kid"), "text_sha256").distinct()
-    rows = docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    same = F.col(id_col).eqNullSafe(F.col("_kid")) & (F.col("_sha") == F.col("text_sha256"))
-    return rows.join(stay, same, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")
+    """The rows that stay, with all their columns and no others, whatever their names; of repeated rows one."""
+    sha, own, its = (common.free_name(docs.columns, n) for n in ("sha", "own_id", "own_sha"))
+    stay = classes(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(own), F.col("text_sha256").alias(its)).distinct()
+    rows = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
+    same = F.col(id_col).eqNullSafe(F.col(own)) & (F.col(sha) == F.col(its))
+    return rows.join(stay, same, "left_semi").dropDuplicates([id_col, sha]).drop(sha)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

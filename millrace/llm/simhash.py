@@ -18,8 +18,8 @@ rows only links of a spanning forest leave the task, not all pairs.
 
 Rows: a null or empty text has fingerprint zero and is linked like any other; a text
 with fewer words than a shingle is one shingle; repeated rows share a component; a null
-id takes part but is never the smallest unless all are null; an empty table gives an
-empty one. Only id and text are read.
+id takes part but is never the smallest unless all are null; ids may be of any type with
+an order; an empty table gives an empty one. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -190,11 +190,10 @@ def links(distinct: DataFrame) -> DataFrame:
                 g = (np.uint64(table) << np.uint64(32) | key).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(g), batch.column(0), rep], names=["g", "fp", "rep"])
 
-    keyed = distinct.select("fp", "rep").mapInArrow(coarse, "g long, fp long, rep long")
-    counted = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("n > 1")
-    path = common.scratch_path(distinct.sparkSession, "keyed")
-    counted.write.parquet(path)  # read twice below
-    counted = distinct.sparkSession.read.parquet(path)
+    keyed = common.written(distinct.select("fp", "rep").mapInArrow(coarse, "g long, fp long, rep long"), "keyed")
+    # counted by a pre-aggregated group, not in a window, so that no task gathers a key's rows
+    shared = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("g").alias("k"), "n")
+    counted = common.written(keyed.join(shared, F.col("g") == F.col("k")).select("g", "fp", "rep", "n"), "shared")  # read twice below
     small = counted.where(F.col("n") <= DIRECT)
 
     def fine(batches):
@@ -213,15 +212,14 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp and component_id (smallest id of the class) of every row."""
-    spark = docs.sparkSession
-    path = common.scratch_path(spark, "fingerprints")
-    fingerprints(docs, shingle, id_col, text_col).write.parquet(path)  # computed once, used three times
-    rows = spark.read.parquet(path)
-    distinct = rows.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")).where("rep IS NOT NULL")
-    roots = components(links(distinct))
+    rows = common.written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")  # computed once, used three times
+    distinct = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
+    roots = components(links(distinct.select("fp", F.col("fp").alias("rep"))))  # fingerprints are the nodes
+    of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
     # the key is an expression, so that both sides of the join are shuffled for it and a fingerprint of very many rows can be split
     key = F.col("fp").bitwiseOR(F.lit(0).cast("long")).alias("_k")
-    named = distinct.join(roots, distinct.rep == roots.node, "left").select(key, F.coalesce("root", "rep").alias("component_id"))
+    named = of.join(smallest, "root").select(key, "component_id")
     return rows.join(named, F.col("fp") == F.col("_k"), "left").select(id_col, "fp", "component_id")
 
 

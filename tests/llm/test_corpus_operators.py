@@ -318,6 +318,17 @@ def five_words(text):
     return [b" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))]
 
 
+def linked(grams, at):
+    """Class of each id by brute force over all pairs at the similarity."""
+    up = {i: i for i in grams}
+    for i in grams:
+        for j in grams:
+            if j < i and len(grams[i] & grams[j]) >= at * len(grams[i] | grams[j]):
+                old, new = max(up[i], up[j]), min(up[i], up[j])
+                up = {k: new if x == old else x for k, x in up.items()}
+    return up
+
+
 @pytest.mark.parametrize("block", [similar.BLOCK, 8])
 def test_similar_against_brute_force(spark, docs, empty, block, monkeypatch):
     rng = random.Random(3)
@@ -326,21 +337,51 @@ def test_similar_against_brute_force(spark, docs, empty, block, monkeypatch):
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
     texts = {r["doc_id"]: r["text"] for r in df.collect() if r["doc_id"] is not None}
     monkeypatch.setattr(similar, "BLOCK", block)
-    plain = similar.links
-    monkeypatch.setattr(similar, "links", lambda distinct, most: plain(distinct, most, block))
     got = {r["doc_id"]: r["component_id"] for r in similar.classes(df).collect()}
     grams = {i: set(five_words(t)) for i, t in texts.items()}
     share = lambda i, j: len(grams[i] & grams[j]) / len(grams[i] | grams[j])
     close = [(i, j) for i in grams for j in grams if i < j and share(i, j) >= 0.85]
     assert len(close) > 200 and all(got[i] == got[j] for i, j in close)
-    for i in grams:
-        if got[i] != i:
-            assert any(j != i and share(i, j) >= 0.5 for j in grams)
+    up = linked(grams, 0.8)
+    assert all(up[got[i]] == up[i] for i in grams)  # nothing is linked that brute force keeps apart
     fps = {i: similar.wide(text_of(t), 5) for i, t in texts.items()}
     for i in grams:
         wanted = [j for j in grams if np.bitwise_count(fps[i] ^ fps[j]).sum() <= similar.tau(0.8)]
         assert set(similar.near(np.array(list(fps.values())), fps[i], similar.tau(0.8)).tolist()) == {n for n, j in enumerate(fps) if j in wanted}
-    assert similar.classes(empty).count() == 0
+    assert similar.classes(empty).count() == 0 and similar.keepers(empty).columns == docs.columns
+
+
+def test_near_copies_go_by_row(spark):
+    rng = random.Random(6)
+    one, two = prose(80, rng), " ".join(rng.choice(WORDS) + "z" for _ in range(80))
+    rows = [(None, one), (3, one), (None, two), (7, two + " x"), (7, one + " y"), (9, prose(60, rng)), (None, prose(60, rng)), (11, None), (12, "")]
+    df = spark.createDataFrame([(i, t, "a", "b", "c", "d") for i, t in rows], "doc_id long, text string, gone_id string, key string, rep string, root string")
+    out = similar.keepers(df)
+    assert out.columns == df.columns
+    want = [(3, one), (7, two + " x"), (9, rows[5][1]), (None, rows[6][1]), (11, None)]  # an empty text is like a null one
+    assert sorted(map(str, out.select("doc_id", "text").collect())) == sorted(str(r) for r in spark.createDataFrame(want, "doc_id long, text string").collect())
+
+
+def test_ids_of_text(spark):
+    df = spark.createDataFrame([("b", prose(50, random.Random(1))), ("a", prose(50, random.Random(1))), ("c", "other words"), (None, None)], "doc_id string, text string")
+    for found in (simhash.near_classes(df), similar.classes(df)):
+        assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {"a": "a", "b": "a", "c": "c", None: None}
+
+
+def test_rows_with_nulls_are_told_apart(spark):
+    docs = spark.createDataFrame([(5, None), (None, "5"), (None, None), (5, "5")], "doc_id long, text string")
+    got = decontaminate.contamination(docs, spark.createDataFrame([(1, "5")], "item_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_hit"]) for r in got) == [("5", 0), ("5", 1), ("None", 0), ("None", 1)]
+    assert sorted(map(str, decontaminate.clean(docs, spark.createDataFrame([(1, "5")], "item_id long, text string")).collect())) == sorted(["Row(doc_id=5, text=None)", "Row(doc_id=None, text=None)"])
+
+
+def test_stages_keep_clashing_columns(spark):
+    names = ["text_sha256", "sha", "_sha", "own_id", "row_key", "key", "bad", "_gone", "h", "score", "label", "component_id", "kept"]
+    df = spark.createDataFrame([(1, "a b c", *names), (2, "a  b c", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame([(1, "zz")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    for out in (exact_dedup.keepers(df), decontaminate.clean(df, bench), similar.keepers(df), toxicity.clean(df, labels)):
+        assert out.columns == df.columns and tuple(out.orderBy("doc_id").first()) == (1, "a b c", *names)
 
 
 def test_registry():
@@ -348,9 +389,9 @@ def test_registry():
     assert registry.oracle_sql().keys() <= registry.queries().keys()
 
 
-@pytest.mark.parametrize("exact", [similar.EXACT, 8])
-def test_similar_links_only_at_the_similarity(spark, exact, monkeypatch):
-    monkeypatch.setattr(similar, "EXACT", exact)
+@pytest.mark.parametrize("block", [similar.BLOCK, 8])
+def test_similar_links_only_at_the_similarity(spark, block, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", block)
     rng = random.Random(8)
     rows = []
     for k in range(30):  # texts that share most of a long passage: pairs from far below 0.8 to above
