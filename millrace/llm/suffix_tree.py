@@ -1,19 +1,26 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The tree's states are contexts of up to DEPTH words before a symbol. A context is kept
+The tree's states are contexts of any number of words before a symbol. A context is kept
 where the divergence of its next-symbol distribution from its suffix's, estimated by
-leaving each occurrence out of its own counts, passes both a total and a mean threshold;
-only contexts seen LEAST times are candidates. Distributions are smoothed along the
-suffixes: P(s|c) = (n(c,s) + WEIGHT P(s|suffix of c)) / (n(c) + WEIGHT); the root is
-absolutely discounted, and what the discount takes off is the unknown symbol's
-probability. Each token is scored in the longest kept suffix of the words before it.
-
-Counting and lookup are one exchange of sorted key arrays, not of a row per token. Tasks
-turn texts into batches (token ids, hashes of distinct words), written once. In each
-round a batch sends its distinct n-grams with counts to buckets by hash, a bucket adds
-up what all batches sent and answers each batch in its own key order. Traffic follows
-the distinct n-grams of a batch, grows with the corpus, and a hot word or context is one
-key per batch. Nothing is gathered on the driver but five totals.
+leaving each occurrence out of its own counts, passes both a total and a mean threshold.
+Contexts grow word by word to the left: one is a candidate if it is seen LEAST times and
+the symbols after its suffix still cost more than GAIN nats in all there, the least that
+any longer context would have to gain. The loop over lengths ends when no candidate is
+left; there is no other bound. Distributions are smoothed along the suffixes:
+P(s|c) = (n(c,s) + WEIGHT P(s|suffix of c)) / (n(c) + WEIGHT); the root is absolutely
+discounted, and what the discount takes off is the unknown symbol's probability. Each
+token is scored in the longest kept suffix of the words before it (a suffix of a kept
+context need not be kept itself).
+
+Counting and lookup are one primitive: tasks turn texts into batches (token ids, hashes
+of distinct words), written once and bucketed by batch, so that they never move again.
+In each round a batch sends its distinct keys (words, contexts with their next symbols,
+contexts) with numbers to nodes by hash; a node adds up what all batches sent and answers
+each in its own key order. A level takes two rounds: counts, then gains by context. With
+more than FAN batches the exchange has several stages, each with a fan of at most FAN,
+that add up on the way: messages grow with the batches times the logarithm of their
+number, and a hot word or context is one key of each sender. Nothing is gathered on the
+driver but four totals.
 
 Rows: a null text is empty and has the end token alone; empty texts, repeated rows and
 null ids are scored like others (a null id is no held-out row); without training rows
@@ -23,9 +30,10 @@ are read, so other columns may have any name.
 
 from __future__ import annotations
 
+import math
 import pickle
-import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +46,30 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
-DEPTH = 2
 #: Occurrences a context needs; pseudo-count of its suffix; least gain in all and per occurrence (nats).
 LEAST, WEIGHT, GAIN, MEAN_GAIN = 8, 6.0, 10.0, 0.02
-#: Bytes of text in one batch.
-BATCH_BYTES = 12 << 20
+#: Bytes of text in one batch, and receivers of a sender at most.
+BATCH_BYTES, FAN = 4 << 20, 256
+#: From this length on a batch's candidates are written instead of derived anew in each round.
+CARRIED = 3
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-ROWS = "batch long, bucket int, kind int, payload binary"
+#: Rows on the way: to a node or batch, from one, what the payload is.
+ROWS = "node long, sender long, kind int, payload binary"
+NAMES = ["node", "sender", "kind", "payload"]
+MESSAGE, ANSWER, SCORES, STATISTICS, WORDS = 0, 1, 2, 3, 4
+
+
+def counts_kind(level: int) -> int:
+    return 10 * level
+
+
+def gains_kind(level: int) -> int:
+    return 10 * level + 1
+
+
+def carried_kind(level: int) -> int:
+    return 10 * level + 2
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -70,113 +94,190 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets in the order of the hashes, so that answers put together follow sorted keys."""
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _table(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows)) if rows else [[]] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=NAMES)
+
+
+class Exchange:
+    """Sums by key over all batches: how senders find nodes, and how nodes add up and answer.
+
+    A node of stage s has a group of senders and the keys of one of fan^s ranges; groups
+    shrink by the fan from stage to stage until one is left.
+    """
+
+    def __init__(self, batches: int, most: int):
+        self.stages = 1
+        while most ** self.stages < batches:
+            self.stages += 1
+        self.fan = 1
+        while self.fan ** self.stages < batches:
+            self.fan += 1
+
+    def group_of(self, batch: int) -> int:
+        return xxhash.xxh64_intdigest(batch.to_bytes(8, "little")) % self.fan ** (self.stages - 1)
+
+    def send(self, sender: int, group: int, stage: int, keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+        """Rows to the nodes of a stage; keys are sorted, the columns run along them."""
+        ranges = self.fan ** stage
+        part = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)  # ranges in the order of the keys
+        edge = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(keys)] if len(keys) else [0]
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            yield group * ranges + int(part[lo]), sender, MESSAGE, _pack(np.diff(keys[lo:hi], prepend=np.uint64(0)), *(c[lo:hi] for c in columns))
+
+    @staticmethod
+    def inbox(rows: pa.Table) -> tuple:
+        """Distinct keys, sums of the columns, each message's keys as places among them, senders, ends."""
+        rows = rows.filter(pa.compute.equal(rows["kind"], MESSAGE)).sort_by("sender")  # sums in one order
+        parts = [_unpack(b) for b in rows["payload"].to_pylist()]
+        keys, where = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_inverse=True)
+        sums = [np.bincount(where, np.concatenate([p[i] for p in parts]), minlength=len(keys)) for i in range(1, len(parts[0]))]
+        return keys, sums, where, rows["sender"].to_pylist(), np.cumsum([len(p[0]) for p in parts])
+
+    def answers(self, node: int, answer: list[np.ndarray], where: np.ndarray, senders: list[int], ends: np.ndarray) -> list[tuple]:
+        return [(to, node, ANSWER, _pack(*(a[where[lo:hi]] for a in answer))) for to, lo, hi in zip(senders, np.r_[0, ends[:-1]], ends)]
+
+    def run(self, sent: DataFrame, kind: int, answer: Callable[[list[np.ndarray]], list[np.ndarray]], statistics: bool = False, stage: int = 1, gone: list[str] | None = None) -> DataFrame:
+        """The answers of a kind to all senders (and the statistics of the first sum), written."""
+
+        def last(rows: pa.Table) -> pa.Table:
+            keys, sums, *of = self.inbox(rows)
+            out = self.answers(rows["node"][0].as_py(), answer(sums), *of)
+            if statistics:
+                n = sums[0][sums[0] > 0]
+                out += [(k, int(x), STATISTICS, b"") for k, x in enumerate((n.sum(), len(n), (n == 1).sum(), (n == 2).sum()))]
+            return _table(out)
+
+        def on(rows: pa.Table) -> pa.Table:
+            keys, sums, *_ = self.inbox(rows)
+            node = rows["node"][0].as_py()
+            return _table(list(self.send(node, node // self.fan ** stage // self.fan, stage + 1, keys, *sums)))
+
+        def back(rows: pa.Table) -> pa.Table:
+            of = self.inbox(rows)[2:]
+            found = rows.filter(pa.compute.equal(rows["kind"], ANSWER)).sort_by("sender")
+            parts = [_unpack(b) for b in found["payload"].to_pylist()]
+            joined = [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))]
+            return _table(self.answers(rows["node"][0].as_py(), joined, *of))
+
+        if stage == self.stages:
+            found = sent.groupBy("node").applyInArrow(last, ROWS)
+        else:
+            held = common.written(sent, "inbox", gone)
+            up = self.run(held.groupBy("node").applyInArrow(on, ROWS), ANSWER, answer, statistics, stage + 1, gone)
+            found = held.unionByName(up.where(F.col("kind") == ANSWER)).groupBy("node").applyInArrow(back, ROWS)
+            found = found.unionByName(up.where(F.col("kind") == STATISTICS))
+        named = found.select("node", "sender", F.when(F.col("kind") == ANSWER, F.lit(kind)).otherwise(F.col("kind")).cast("int").alias("kind"), "payload")
+        return common.written(named, "answers", gone)
 
 
-def _send(batch: int, kind: int, buckets: int, by: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    """Rows for each bucket; `by` is sorted, the columns run along it."""
-    at = np.searchsorted(_bucket(by, buckets), np.arange(buckets + 1))
-    for b in range(buckets):
-        if at[b + 1] > at[b]:
-            part = slice(at[b], at[b + 1])
-            yield batch, b, kind, _pack(np.diff(by[part], prepend=np.uint64(0)), *(c[part] for c in columns))
+def _smoothed(n: np.ndarray, seen: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    return (n + WEIGHT * suffix) / (seen + WEIGHT)
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows)) if rows else [[]] * 4
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["batch", "bucket", "kind", "payload"])
+def _gain(n: np.ndarray, seen: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Log-ratio of an occurrence under the context without it and under the suffix."""
+    return np.log((n - 1 + WEIGHT * suffix) / (seen - 1 + WEIGHT) / suffix)
 
 
 class Batch:
-    """One batch's tokens, rebuilt from its state row and the answers to earlier rounds."""
-
-    def __init__(self, rows: pa.Table, totals: dict | None):
-        self.answers: dict[int, list] = {}
-        state = None
-        order = sorted(range(rows.num_rows), key=lambda i: (rows["kind"][i].as_py(), rows["bucket"][i].as_py()))
-        for i in order:
-            kind, blob = rows["kind"][i].as_py(), rows["payload"][i].as_py()
-            if kind == 0:
-                state = blob
-            else:
-                self.answers.setdefault(kind, []).append(_unpack(blob))
-        self.number = rows["batch"][0].as_py()
-        ids, arrays = pickle.loads(state)
-        self.ids = ids
+    """One batch's tokens and what the rounds before have found about them."""
+
+    def __init__(self, state: pa.Table, rows: pa.Table | None, totals: dict | None):
+        self.number = state["node"][0].as_py()
+        self.ids, arrays = pickle.loads(state["payload"][0].as_py())
         self.train, self.lens, self.tok, self.hashes = _unpack(arrays)
         self.train = self.train.astype(bool)
-        starts = np.cumsum(self.lens) - self.lens
-        self.place = np.arange(len(self.tok)) - np.repeat(starts, self.lens)  # of a token in its text
-        self.learns = np.repeat(self.train, self.lens)
-        self.h = self.hashes[self.tok]
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
+        self.place = np.arange(len(self.tok)) - self.starts[self.doc]  # of a token in its text
+        self.learns = self.train[self.doc]
         self.totals = totals
-
-    def answer(self, kind: int, column: int = 0) -> np.ndarray:
-        parts = [a[column] for a in self.answers.get(kind, [])]
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-
-    def words(self):
+        self.found: dict[int, list] = {}
+        if rows is not None:
+            rows = rows.sort_by([("kind", "ascending"), ("sender", "ascending")])
+            for kind, payload in zip(rows["kind"].to_pylist(), rows["payload"].to_pylist()):
+                self.found.setdefault(kind, []).append(_unpack(payload))
+
+    def column(self, kind: int, i: int = 0) -> np.ndarray:
+        """The answers of a kind along the keys sent."""
+        parts = [p[i] for p in self.found.get(kind, [])]
+        return np.concatenate(parts).astype(float) if parts else np.zeros(0)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct words' sorted hashes and their occurrences in training texts."""
-        self.order = np.argsort(self.hashes)
-        return self.hashes[self.order], np.bincount(self.tok[self.learns], minlength=len(self.hashes))[self.order].astype(np.uint32)
+        order = np.argsort(self.hashes)
+        return self.hashes[order], np.bincount(self.tok[self.learns], minlength=len(self.hashes))[order].astype(np.uint64)
 
+    @cached_property
     def counts(self) -> np.ndarray:
         """c of every token."""
-        order = np.argsort(self.hashes)
-        c = np.zeros(len(self.hashes), np.int64)
-        c[order] = self.answer(1)
+        c = np.zeros(len(self.hashes))
+        c[np.argsort(self.hashes)] = self.column(WORDS)
         return c[self.tok]
 
-    def root(self, c: np.ndarray) -> np.ndarray:
-        t = self.totals
+    @cached_property
+    def root(self) -> np.ndarray:
+        c, t = self.counts, self.totals
         if not t["n"]:
             return np.ones(len(c))
         d = min(max(t["n1"] / max(t["n1"] + 2 * t["n2"], 1), 0.1), 0.9)
         return np.where(c > 0, (c - d) / t["n"], d * t["v"] / t["n"])
 
-    def deepen(self, level: int, before: np.ndarray) -> dict:
-        """Eligible tokens of a level with context hash and n-gram hash; before: counts at the level above."""
-        seen = np.r_[0, before[:-1]]  # of the context: it ended one token earlier
-        at = np.flatnonzero((self.place >= level) & (seen >= LEAST))
-        context = self.h[at - level]
-        for j in range(level - 1, 0, -1):
-            context = _mix(context, self.h[at - j])
-        if level == 1:
-            context = _mix(context, np.full(len(at), np.uint64(level)))
-        return {"at": at, "context": context, "gram": _mix(context, self.h[at]), "seen": seen[at].astype(float)}
-
-
-def _smoothed(n: np.ndarray, seen: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    return (n + WEIGHT * suffix) / (seen + WEIGHT)
-
-
-def _gain(n: np.ndarray, seen: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """Log-ratio of an occurrence under the context without it and under the suffix."""
-    return np.log((n - 1 + WEIGHT * suffix) / (seen - 1 + WEIGHT) / suffix)
-
-
-def _level_one(b: Batch):
-    c = b.counts()
-    p0 = b.root(c)
-    one = b.deepen(1, c)
-    keys, where = np.unique(one["gram"], return_inverse=True)
-    return c, p0, one, keys, where
-
-
-def _level_two(b: Batch, c, p0, one, where):
-    n1 = np.zeros(len(c))
-    n1[one["at"]] = b.answer(2)[where]
-    p1 = p0.copy()
-    p1[one["at"]] = _smoothed(n1[one["at"]], one["seen"], p0[one["at"]])
-    two = b.deepen(2, n1)
-    order = np.lexsort((two["gram"], two["context"]))
-    gram, context = two["gram"][order], two["context"][order]
-    fresh = np.r_[True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])] if len(gram) else np.zeros(0, bool)
-    index = np.zeros(len(gram), np.int64)
-    index[order] = np.cumsum(fresh) - 1
-    return n1, p1, two, order[fresh], index
+    def candidates(self, level: int) -> dict:
+        """Tokens whose context of this length is a candidate, with the suffix's and the best probability."""
+        if carried_kind(level) in self.found:
+            at, p, best = self.found[carried_kind(level)][0]
+            return {"at": np.cumsum(at), "p": p.astype(float), "best": best.astype(float)}
+        if level >= CARRIED:  # none were written
+            return {"at": np.zeros(0, np.int64), "p": np.zeros(0), "best": np.zeros(0)}
+        if level > 1:
+            return self.judged(level - 1)[0]
+        before = np.r_[0.0, self.counts[:-1]]
+        at = np.flatnonzero((self.place >= 1) & (before >= LEAST))
+        return {"at": at, "p": self.root[at], "best": self.root[at]}
+
+    def keyed(self, level: int) -> dict:
+        """The candidates with the places of their n-gram and context among the keys of the level."""
+        c = self.candidates(level)
+        h = self.hashes[self.tok]
+        context = reduce(_mix, (h[c["at"] - j] for j in range(1, level + 1)), np.full(len(c["at"]), END_HASH))
+        grams, c["gram"] = np.unique(_mix(context + _MIX[1], h[c["at"]]), return_inverse=True)
+        c["contexts"], c["context"] = np.unique(context, return_inverse=True)
+        c["keys"] = np.concatenate([grams, c["contexts"]])
+        c["order"] = np.argsort(c["keys"])
+        return c
+
+    def counted(self, level: int) -> dict:
+        """The candidates that are seen often enough, with counts and smoothed probability."""
+        c = self.keyed(level)
+        n = np.zeros(len(c["keys"]))
+        n[c["order"]] = self.column(counts_kind(level))
+        size = len(c["keys"]) - len(c["contexts"])
+        c["n"], c["seen"] = n[:size][c["gram"]], n[size:][c["context"]]
+        c["often"] = c["seen"] >= LEAST
+        c["mine"], c["of"] = np.unique(c["context"][c["often"]], return_inverse=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            c["new"] = _smoothed(c["n"], c["seen"], c["p"])
+        return c
+
+    def judged(self, level: int) -> tuple[dict, np.ndarray]:
+        """The candidates one word longer, and what kept contexts of the level add to each text's score."""
+        c = self.counted(level)
+        often, seen = c["often"], c["seen"][c["often"]]
+        gain, cost = (self.column(gains_kind(level), i)[c["of"]] if len(c["of"]) else np.zeros(0) for i in (0, 1))
+        at, new, best = c["at"][often], c["new"][often], c["best"][often]
+        stays = (gain >= GAIN) & (gain >= MEAN_GAIN * seen)
+        more = np.bincount(self.doc[at[stays]], np.log10(new[stays]) - np.log10(best[stays]), minlength=len(self.lens))
+        best = np.where(stays, new, best)
+        # the longer context is the n-gram that ends one token earlier: known to be rare, or to be counted
+        if len(c["at"]):
+            i = np.minimum(np.searchsorted(c["at"], at - 1), len(c["at"]) - 1)
+            rare = (c["at"][i] == at - 1) & ~(often[i] & (c["n"][i] >= LEAST))
+        else:
+            rare = np.zeros(0, bool)
+        goes_on = (cost >= GAIN) & (self.place[at] > level) & ~rare
+        return {"at": at[goes_on], "p": new[goes_on], "best": best[goes_on]}, more
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,25 +287,18 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     arrow_id = to_arrow_type(id_type)
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), (~F.coalesce(held_out, F.lit(False))).alias("_train"))
     size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    buckets = max(1, -(-size // BATCH_BYTES))
-
-    def kept(df: DataFrame, what: str) -> DataFrame:
-        path = common.scratch_path(spark, what)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
+    exchange = Exchange(max(1, -(-size // BATCH_BYTES)), FAN)
 
     def tokenise(batches):
-        """Batches of about BATCH_BYTES; one's number is a hash of its partition, place and rows, the same if a task runs again."""
-        partition, place = TaskContext.get().partitionId(), 0
+        """Batches of about BATCH_BYTES, numbered by partition and place: the same if a task runs again."""
+        number = TaskContext.get().partitionId() << 32
         ids, train, lens, tok, vocabulary, held = [], [], [], [], {b"": 0}, 0
 
         def flush():
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
             hashes[0] = END_HASH
             arrays = _pack(np.array(train, np.uint8), np.array(lens, np.int64), np.concatenate(tok).astype(np.int32), hashes)
-            payload = pickle.dumps((ids, arrays))
-            number = xxhash.xxh64_intdigest(struct.pack("<2q", partition, place) + payload) >> 1
-            return pa.RecordBatch.from_arrays(_table([(number, 0, 0, payload)]).combine_chunks().to_batches()[0].columns, names=["batch", "bucket", "kind", "payload"])
+            return _table([(number, 0, 0, pickle.dumps((ids, arrays)))]).combine_chunks().to_batches()[0]
 
         for batch in common.slices(batches):
             for key, text, learns in zip(batch.column(0).to_pylist(), common.texts_of(batch.column(1)), batch.column(2).to_pylist()):
@@ -215,115 +309,99 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
                 held += len(text) + 64
                 if held >= BATCH_BYTES:
                     yield flush()
-                    place += 1
+                    number += 1
                     ids, train, lens, tok, vocabulary, held = [], [], [], [], {b"": 0}, 0
         if ids:
             yield flush()
 
-    states = kept(docs.mapInArrow(tokenise, ROWS), "batches")
-
-    def count(rows: pa.Table) -> pa.Table:
-        """A bucket's answers: counts by key; for contexts also whether they are kept."""
-        out = []
-        kinds, numbers, blobs = rows["kind"].to_numpy(), rows["batch"].to_numpy(), rows["payload"].to_pylist()
-        bucket = rows["bucket"][0].as_py()
-        for kind in sorted(set(kinds.tolist())):
-            mine = np.flatnonzero(kinds == kind)
-            parts = [_unpack(blobs[i]) for i in mine]
-            by = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-            sums = np.concatenate([p[1] for p in parts]).astype(float)
-            if kind == 4:  # n-grams of long contexts: by is the context
-                gram, suffix = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
-                _, first, which = np.unique(gram, return_index=True, return_inverse=True)
-                n = np.bincount(which, sums)
-                _, of = np.unique(by[first], return_inverse=True)
-                seen = np.bincount(of, n)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    gains = np.where(n > 0, n * _gain(n, seen[of], suffix[first].astype(float)), 0.0)
-                total = np.bincount(of, gains)
-                stays = (total >= GAIN) & (total >= MEAN_GAIN * seen)
-                answer = [n[which].astype(np.uint32), stays[of][which].astype(np.uint8)]
-            else:
-                _, which = np.unique(by, return_inverse=True)
-                n = np.bincount(which, sums)
-                if kind == 3:  # gains of one-word contexts
-                    seen = np.bincount(which, np.concatenate([p[2] for p in parts]).astype(float))
-                    n = (n >= GAIN) & (n >= MEAN_GAIN * seen)
-                answer = [n[which].astype(np.uint32)]
-            if kind == 1:
-                pos = n[n > 0]
-                stats = np.array([pos.sum(), len(pos), (pos == 1).sum(), (pos == 2).sum()], np.int64)
-                out.append((-1, bucket, 9, stats.tobytes()))
-            ends = np.cumsum([len(p[0]) for p in parts])
-            for i, lo, hi in zip(mine, np.r_[0, ends[:-1]], ends):
-                out.append((int(numbers[i]), bucket, kind, _pack(*(a[lo:hi] for a in answer))))
-        return _table(out)
-
-    def exchange(sent: DataFrame, what: str) -> DataFrame:
-        return kept(sent.groupBy("bucket").applyInArrow(count, ROWS), what)
+    states = common.bucketed(docs.mapInArrow(tokenise, ROWS), "batches", "node")
+
+    def on_batches(rows: DataFrame, do: Callable[[Batch], list[tuple]], totals: dict) -> DataFrame:
+        """What every batch sends, given the rows addressed to it."""
+        return states.groupBy("node").cogroup(rows.groupBy("node")).applyInArrow(lambda s, r: _table(do(Batch(s, r, totals))) if s.num_rows else _table([]), ROWS)
+
+    def send(b: Batch, *arrays: np.ndarray) -> list[tuple]:
+        return list(exchange.send(b.number, exchange.group_of(b.number), 1, *arrays))
 
     def send_words(batches):
         for rows in batches:
             for i in range(rows.num_rows):
-                b = Batch(pa.Table.from_batches([rows.slice(i, 1)]), None)
-                yield from _table(list(_send(b.number, 1, buckets, *b.words()))).to_batches()
-
-    first = exchange(states.mapInArrow(send_words, ROWS), "words")
-    total = np.zeros(4, np.int64)
-    for r in first.where("kind = 9").select("payload").toLocalIterator():  # four numbers a bucket
-        total += np.frombuffer(r[0], np.int64)
-    totals = dict(zip(("n", "v", "n1", "n2"), total.tolist()))
-    known = states.unionByName(first.where("kind = 1"))
-
-    def send_pairs(rows: pa.Table) -> pa.Table:
-        b = Batch(rows, totals)
-        *_, one, keys, where = _level_one(b)
-        m = np.bincount(where, b.learns[one["at"]], minlength=len(keys)).astype(np.uint32)
-        return _table(list(_send(b.number, 2, buckets, keys, m)))
-
-    second = exchange(known.groupBy("batch").applyInArrow(send_pairs, ROWS), "pairs")
-    known = known.unionByName(second)
-
-    def send_contexts(rows: pa.Table) -> pa.Table:
-        b = Batch(rows, totals)
-        c, p0, one, _, where = _level_one(b)
-        n1, p1, two, pick, index = _level_two(b, c, p0, one, where)
-        contexts, of = np.unique(one["context"], return_inverse=True)
-        learns = b.learns[one["at"]]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gains = np.where(learns, _gain(n1[one["at"]], one["seen"], p0[one["at"]]), 0.0)
-        out = list(_send(b.number, 3, buckets, contexts, np.bincount(of, gains, minlength=len(contexts)), np.bincount(of, learns, minlength=len(contexts)).astype(np.uint32)))
-        m = np.bincount(index, b.learns[two["at"]], minlength=len(pick)).astype(np.uint32)
-        out += _send(b.number, 4, buckets, two["context"][pick], m, two["gram"][pick], p1[two["at"][pick]].astype(np.float32))
-        return _table(out)
-
-    third = exchange(known.groupBy("batch").applyInArrow(send_contexts, ROWS), "contexts")
-    known = known.unionByName(third)
-
-    def judge(rows: pa.Table) -> pa.Table:
-        b = Batch(rows, totals)
-        c, p0, one, _, where = _level_one(b)
-        _, p1, two, pick, index = _level_two(b, c, p0, one, where)
-        best = p0
-        if len(one["at"]):
-            _, of = np.unique(one["context"], return_inverse=True)
-            stays = b.answer(3)[of] > 0
-            best = p0.copy()
-            best[one["at"][stays]] = p1[one["at"][stays]]
-        if len(two["at"]):
-            stays = b.answer(4, 1)[index] > 0
-            p2 = _smoothed(b.answer(4, 0)[index].astype(float), two["seen"], p1[two["at"]])
-            best[two["at"][stays]] = p2[stays]
-        n, v = totals["n"], totals["v"]
-        starts = np.cumsum(b.lens) - b.lens
-        add = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every text has its end token
-        cols = [
-            pa.array(b.ids, arrow_id), pa.array(~b.train), pa.array(b.lens), pa.array(add((c > 0).astype(np.int64))),
-            pa.array(np.full(len(b.ids), n, np.int64)), pa.array(add(np.log10((c + 1) / (n + v + 1)))), pa.array(add(np.log10(best))),
-        ]
-        return pa.table(cols, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return known.groupBy("batch").applyInArrow(judge, f"`{id_col}` {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                b = Batch(pa.Table.from_batches([rows.slice(i, 1)]), None, None)
+                yield from _table(send(b, *b.words())).to_batches()
+
+    as_counts = lambda sums: [sums[0].astype(np.uint64)]
+    first = exchange.run(states.mapInArrow(send_words, ROWS), WORDS, as_counts, statistics=True)
+    totals = {k: 0 for k in ("n", "v", "n1", "n2")}
+    totals |= {list(totals)[r["node"]]: r["s"] for r in first.where(F.col("kind") == STATISTICS).groupBy("node").agg(F.sum("sender").alias("s")).collect()}
+    first = first.where(F.col("kind") == WORDS)
+
+    def send_counts(level: int) -> Callable[[Batch], list[tuple]]:
+        def do(b: Batch) -> list[tuple]:
+            out = []
+            if level > 1:
+                c, more = b.judged(level - 1)
+                if more.any():
+                    out.append((b.number, level, SCORES, _pack(more)))
+                if level >= CARRIED and len(c["at"]):
+                    out.append((b.number, 0, carried_kind(level), _pack(np.diff(c["at"], prepend=0), c["p"].astype(np.float32), c["best"].astype(np.float32))))
+                    b.found[carried_kind(level)] = [_unpack(out[-1][-1])]  # as the next round reads it
+                if not len(c["at"]):
+                    return out
+            c = b.keyed(level)
+            learns = b.learns[c["at"]]
+            m = np.concatenate([np.bincount(c["gram"], learns, minlength=len(c["keys"]) - len(c["contexts"])), np.bincount(c["context"], learns, minlength=len(c["contexts"]))])
+            return out + send(b, c["keys"][c["order"]], m[c["order"]].astype(np.uint64))
+
+        return do
+
+    def send_gains(level: int) -> Callable[[Batch], list[tuple]]:
+        def do(b: Batch) -> list[tuple]:
+            c = b.counted(level)
+            often = c["often"]
+            learns = b.learns[c["at"][often]]
+            n, seen, p, new = (c[k][often] for k in ("n", "seen", "p", "new"))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain, cost = np.where(learns, _gain(n, seen, p), 0.0), np.where(learns, -np.log(new), 0.0)
+            sums = [np.bincount(c["of"], x, minlength=len(c["mine"])) for x in (gain, cost)]
+            return send(b, c["contexts"][c["mine"]], *sums)
+
+        return do
+
+    known, scores, level = [first], [], 1
+    tables: list[str] = []  # of the levels before
+    while True:
+        gone: list[str] = []  # of this level
+        sent = on_batches(reduce(DataFrame.unionByName, known), send_counts(level), totals)
+        if level > 1:  # a batch's own rows and its messages
+            sent = common.written(sent, "sent", gone)
+            scores.append(common.written(sent.where(F.col("kind") == SCORES), "scores"))
+        asked = exchange.run(sent.where(F.col("kind") == MESSAGE), counts_kind(level), as_counts, gone=gone)
+        if asked.isEmpty():
+            break
+        if level >= CARRIED:
+            common.remove(spark, tables)
+            known = [sent.where(F.col("kind") == carried_kind(level))]
+        known.append(asked)
+        gains = on_batches(reduce(DataFrame.unionByName, known), send_gains(level), totals)
+        known.append(exchange.run(gains, gains_kind(level), lambda sums: [s.astype(np.float32) for s in sums], gone=gone))
+        tables += gone
+        level += 1
+
+    def judge(s: pa.Table, r: pa.Table) -> pa.Table:
+        names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        types = [arrow_id, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        if not s.num_rows:
+            return pa.table([pa.array([], t) for t in types], names=names)
+        b = Batch(s, r, totals)
+        n, v, c = totals["n"], totals["v"], b.counts
+        add = lambda x: np.add.reduceat(x, b.starts)  # noqa: E731  every text has its end token
+        total = add(np.log10(b.root)) + sum((p[0] for p in b.found.get(SCORES, [])), np.zeros(len(b.lens)))
+        cols = [b.ids, ~b.train, b.lens, add((c > 0).astype(np.int64)), np.full(len(b.ids), n), add(np.log10((c + 1) / (n + v + 1))), total]
+        return pa.table([pa.array(x, t) for x, t in zip(cols, types)], names=names)
+
+    kind = id_type.simpleString()
+    rows = reduce(DataFrame.unionByName, [first, *scores])
+    return states.groupBy("node").cogroup(rows.groupBy("node")).applyInArrow(judge, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

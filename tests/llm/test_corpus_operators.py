@@ -439,3 +439,64 @@ def test_suffix_tree_of_a_table_united_with_itself(spark):
     out = suffix_tree.score(df.union(df), F.col("doc_id") % 4 == 0).collect()
     assert len(out) == 80
     assert len({(r["doc_id"], r["score"]) for r in out}) == 40
+
+
+def brute_suffix_tree(texts, learns):
+    """log10 probability of each text (words, end) by the definition: contexts grown to the left, longest kept one scores."""
+    end = ("",)
+    seqs = [list(w) + [end] for w in texts]
+    n = {}
+    for w, t in zip(seqs, learns):
+        for x in w if t else []:
+            n[x] = n.get(x, 0) + 1
+    total, n1, n2 = sum(n.values()), sum(c == 1 for c in n.values()), sum(c == 2 for c in n.values())
+    d = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
+    p = [[(n[x] - d) / total if x in n else d * len(n) / total for x in w] for w in seqs]
+    best, live, deepest = [list(q) for q in p], [[True] * len(w) for w in seqs], 0
+    for level in range(1, 100):
+        where = [(s, i) for s, w in enumerate(seqs) for i in range(level, len(w)) if live[s][i]]
+        context = {(s, i): tuple(seqs[s][i - level:i]) for s, i in where}
+        seen, grams = {}, {}
+        for s, i in where:
+            if learns[s]:
+                c = context[s, i]
+                seen[c] = seen.get(c, 0) + 1
+                grams[c, seqs[s][i]] = grams.get((c, seqs[s][i]), 0) + 1
+        where = [(s, i) for s, i in where if seen.get(context[s, i], 0) >= suffix_tree.LEAST]
+        if not where:
+            return [sum(np.log10(q)) for q in best], deepest
+        gain, cost, new = {}, {}, {}
+        for s, i in where:
+            c, m = context[s, i], grams.get((context[s, i], seqs[s][i]), 0)
+            new[s, i] = (m + suffix_tree.WEIGHT * p[s][i]) / (seen[c] + suffix_tree.WEIGHT)
+            if learns[s]:
+                gain[c] = gain.get(c, 0) + np.log((m - 1 + suffix_tree.WEIGHT * p[s][i]) / (seen[c] - 1 + suffix_tree.WEIGHT) / p[s][i])
+                cost[c] = cost.get(c, 0) - np.log(new[s, i])
+        live = [[False] * len(w) for w in seqs]
+        for s, i in where:
+            c = context[s, i]
+            p[s][i] = new[s, i]
+            if gain[c] >= suffix_tree.GAIN and gain[c] >= suffix_tree.MEAN_GAIN * seen[c]:
+                best[s][i], deepest = new[s, i], level
+            live[s][i] = cost[c] >= suffix_tree.GAIN
+
+
+@pytest.mark.parametrize("size,fan", [(4 << 20, 256), (3000, 256), (3000, 3)])
+def test_suffix_tree_against_brute_force(spark, monkeypatch, size, fan):
+    monkeypatch.setattr(suffix_tree, "BATCH_BYTES", size)
+    monkeypatch.setattr(suffix_tree, "FAN", fan)
+    rng = random.Random(14)
+    after = {}  # the next word follows from the last three
+    rows = []
+    for i in range(90):
+        w = [rng.choice("abcd") for _ in range(3)]
+        while len(w) < rng.randint(40, 90):
+            w.append(after.setdefault(tuple(w[-3:]), rng.choice("abcd")) if rng.random() < 0.8 else rng.choice("abcd"))
+        rows.append((i, " ".join(w)))
+    rows += [(100, ""), (101, None), (102, "never seen"), (103, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(df, F.col("doc_id") % 5 == 0).collect()}
+    want, deepest = brute_suffix_tree([text_of(t).split() for _, t in rows], [i % 5 != 0 for i, _ in rows])
+    assert deepest >= 3
+    for (i, _), x in zip(rows, want):
+        assert abs(got[i] - x) < 1e-4 * max(1, abs(x)), (i, got[i], x)
