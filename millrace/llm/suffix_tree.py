@@ -37,6 +37,7 @@ from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -128,7 +129,7 @@ class Exchange:
     @staticmethod
     def inbox(rows: pa.Table) -> tuple:
         """Distinct keys, sums of the columns, each message's keys as places among them, senders, ends."""
-        rows = rows.filter(pa.compute.equal(rows["kind"], MESSAGE)).sort_by("sender")  # sums in one order
+        rows = rows.filter(pc.equal(rows["kind"], MESSAGE)).sort_by("sender")  # sums in one order
         parts = [_unpack(b) for b in rows["payload"].to_pylist()]
         keys, where = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_inverse=True)
         sums = [np.bincount(where, np.concatenate([p[i] for p in parts]), minlength=len(keys)) for i in range(1, len(parts[0]))]
@@ -155,7 +156,7 @@ class Exchange:
 
         def back(rows: pa.Table) -> pa.Table:
             of = self.inbox(rows)[2:]
-            found = rows.filter(pa.compute.equal(rows["kind"], ANSWER)).sort_by("sender")
+            found = rows.filter(pc.equal(rows["kind"], ANSWER)).sort_by("sender")
             parts = [_unpack(b) for b in found["payload"].to_pylist()]
             joined = [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))]
             return _table(self.answers(rows["node"][0].as_py(), joined, *of))
