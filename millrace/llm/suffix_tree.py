@@ -5,7 +5,9 @@ where the divergence of its next-symbol distribution from its suffix's, estimate
 leaving each occurrence out of its own counts, passes both a total and a mean threshold.
 Contexts grow word by word to the left: one is a candidate if it is seen LEAST times and
 the symbols after its suffix still cost more than GAIN nats in all there, the least that
-any longer context would have to gain. The loop over lengths ends when no candidate is
+any longer context would have to gain, and if that suffix is itself set off from its own
+by one word in SPLIT at least (inside a shared passage the words before are always the
+same, and a longer context has the same occurrences). The loop over lengths ends when no candidate is
 left; there is no other bound. Distributions are smoothed along the suffixes:
 P(s|c) = (n(c,s) + WEIGHT P(s|suffix of c)) / (n(c) + WEIGHT); the root is absolutely
 discounted, and what the discount takes off is the unknown symbol's probability. Each
@@ -49,6 +51,8 @@ from . import common
 
 #: Occurrences a context needs; pseudo-count of its suffix; least gain in all and per occurrence (nats).
 LEAST, WEIGHT, GAIN, MEAN_GAIN = 8, 6.0, 10.0, 0.02
+#: A context grows on only if other words stand before its suffix once in so many times at least.
+SPLIT = 10
 #: Bytes of text in one batch, and receivers of a sender at most.
 BATCH_BYTES, FAN = 4 << 20, 256
 #: From this length on a batch's candidates are written instead of derived anew in each round.
@@ -226,17 +230,17 @@ class Batch:
         return np.where(c > 0, (c - d) / t["n"], d * t["v"] / t["n"])
 
     def candidates(self, level: int) -> dict:
-        """Tokens whose context of this length is a candidate, with the suffix's and the best probability."""
+        """Tokens whose context of this length is a candidate, with the suffix's probability, the best one, and how often the suffix is seen."""
         if carried_kind(level) in self.found:
-            at, p, best = self.found[carried_kind(level)][0]
-            return {"at": np.cumsum(at), "p": p.astype(float), "best": best.astype(float)}
+            at, p, best, wide = self.found[carried_kind(level)][0]
+            return {"at": np.cumsum(at), "p": p.astype(float), "best": best.astype(float), "wide": wide.astype(float)}
         if level >= CARRIED:  # none were written
-            return {"at": np.zeros(0, np.int64), "p": np.zeros(0), "best": np.zeros(0)}
+            return {"at": np.zeros(0, np.int64), "p": np.zeros(0), "best": np.zeros(0), "wide": np.zeros(0)}
         if level > 1:
             return self.judged(level - 1)[0]
         before = np.r_[0.0, self.counts[:-1]]
         at = np.flatnonzero((self.place >= 1) & (before >= LEAST))
-        return {"at": at, "p": self.root[at], "best": self.root[at]}
+        return {"at": at, "p": self.root[at], "best": self.root[at], "wide": np.full(len(at), float(self.totals["n"]))}
 
     def keyed(self, level: int) -> dict:
         """The candidates with the places of their n-gram and context among the keys of the level."""
@@ -277,8 +281,8 @@ class Batch:
             rare = (c["at"][i] == at - 1) & ~(often[i] & (c["n"][i] >= LEAST))
         else:
             rare = np.zeros(0, bool)
-        goes_on = (cost >= GAIN) & (self.place[at] > level) & ~rare
-        return {"at": at[goes_on], "p": new[goes_on], "best": best[goes_on]}, more
+        goes_on = (cost >= GAIN) & (seen * SPLIT <= c["wide"][often] * (SPLIT - 1)) & (self.place[at] > level) & ~rare
+        return {"at": at[goes_on], "p": new[goes_on], "best": best[goes_on], "wide": seen[goes_on]}, more
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,7 +348,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
                 if more.any():
                     out.append((b.number, level, SCORES, _pack(more)))
                 if level >= CARRIED and len(c["at"]):
-                    out.append((b.number, 0, carried_kind(level), _pack(np.diff(c["at"], prepend=0), c["p"].astype(np.float32), c["best"].astype(np.float32))))
+                    out.append((b.number, 0, carried_kind(level), _pack(np.diff(c["at"], prepend=0), c["p"].astype(np.float32), c["best"].astype(np.float32), c["wide"].astype(np.uint64))))
                     b.found[carried_kind(level)] = [_unpack(out[-1][-1])]  # as the next round reads it
                 if not len(c["at"]):
                     return out

@@ -452,7 +452,7 @@ def brute_suffix_tree(texts, learns):
     total, n1, n2 = sum(n.values()), sum(c == 1 for c in n.values()), sum(c == 2 for c in n.values())
     d = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
     p = [[(n[x] - d) / total if x in n else d * len(n) / total for x in w] for w in seqs]
-    best, live, deepest = [list(q) for q in p], [[True] * len(w) for w in seqs], 0
+    best, live, deepest, wide = [list(q) for q in p], [[True] * len(w) for w in seqs], 0, {(): total}
     for level in range(1, 100):
         where = [(s, i) for s, w in enumerate(seqs) for i in range(level, len(w)) if live[s][i]]
         context = {(s, i): tuple(seqs[s][i - level:i]) for s, i in where}
@@ -478,7 +478,8 @@ def brute_suffix_tree(texts, learns):
             p[s][i] = new[s, i]
             if gain[c] >= suffix_tree.GAIN and gain[c] >= suffix_tree.MEAN_GAIN * seen[c]:
                 best[s][i], deepest = new[s, i], level
-            live[s][i] = cost[c] >= suffix_tree.GAIN
+            live[s][i] = cost[c] >= suffix_tree.GAIN and seen[c] * suffix_tree.SPLIT <= wide[c[1:]] * (suffix_tree.SPLIT - 1)
+        wide = seen
 
 
 @pytest.mark.parametrize("size,fan", [(4 << 20, 256), (3000, 256), (3000, 3)])
