@@ -141,21 +141,23 @@ class Shard:
 
 
 class _Encoder:
-    """Ids by the tokenizers library; each distinct chunk is encoded once and remembered."""
+    """Ids by the tokenizers library, added tokens included; each distinct chunk is encoded once and remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def many(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.known) > CACHE_CHUNKS:
             self.known = {}
         found = self.known
-        cut = [chunks(t) for t in texts]
+        # a text with an added token's string is encoded whole: the library looks for these before it cuts
+        whole = {i: np.array(self.tool.encode(t, add_special_tokens=False).ids, "<u4") for i, t in enumerate(texts) if any(x in t for x in self.special)}
+        cut = [[] if i in whole else chunks(t) for i, t in enumerate(texts)]
         new = list(set().union(*cut).difference(found))
         long = []
         for at in range(0, len(new), 4096):
@@ -164,8 +166,8 @@ class _Encoder:
                 found[c] = np.array(e.ids, "<u4").tobytes()
                 if len(c) > CACHE_CHUNK_LEN:
                     long.append(c)
-        for parts in cut:
-            yield np.frombuffer(b"".join(map(found.__getitem__, parts)), "<u4")
+        for i, parts in enumerate(cut):
+            yield whole[i] if i in whole else np.frombuffer(b"".join(map(found.__getitem__, parts)), "<u4")
         for c in long:
             del found[c]
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -81,7 +82,7 @@ def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    tool.encode_special_tokens = True
+    assert tool.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     path = common.scratch_path(spark, "t")
     whole = docs.where("doc_id IS NOT NULL AND doc_id < 20")
     token_files.write(whole, path, public.path("byte_bpe_50k.json"), partitions=3)
@@ -119,10 +120,11 @@ def test_simhash(docs, empty):
     got = simhash.near_classes(docs).collect()
     assert len(got) == docs.count() and simhash.near_classes(empty).count() == 0
     for r in got:
-        if r["doc_id"] in TEXTS and r["doc_id"] not in (5, 6):
+        if r["doc_id"] in TEXTS:
             assert r["fp"] % (1 << 64) == brute_fingerprint(TEXTS[r["doc_id"]], 3)
     comp = {r["doc_id"]: r["component_id"] for r in got}
-    assert comp[20] == 0 == comp[None] or comp[20] == 0
+    assert comp[20] == comp[0] == 0
+    assert {r["component_id"] for r in got if r["doc_id"] is None} <= {0, None}
     assert comp[1] == comp[2] == comp[3] == 1 and comp[6] == 5
 
 
@@ -286,11 +288,11 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         assert after.keys() <= before.keys()
         gone = {i: r["text"] for i, r in before.items() if i not in after}
         if check == "copies":
-            norm = {i: " ".join(text_of(r["text"]).decode().split(" ")) for i, r in before.items()}
+            norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "") for i, r in before.items()}
             first = {}
             for i in sorted(norm):
                 first.setdefault(norm[i], i)
-            assert set(after) <= set(first.values()) | set(after) and all(first[norm[i]] != i or i in after for i in norm)
+            assert set(after) == set(first.values())
         if check == "near":
             grams = {i: set(five_words(r["text"])) for i, r in before.items()}
             close = {(i, j) for i in before for j in before if i < j and (grams[i] or grams[j]) and len(grams[i] & grams[j]) >= 0.85 * len(grams[i] | grams[j])}
