@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -78,6 +79,12 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffles of finished jobs now; otherwise they stay until the driver's heap fills."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def free_name(taken: Iterable[str], base: str) -> str:
     """A column name that no given one equals, in any case."""
     taken = {t.lower() for t in taken}

@@ -250,7 +250,7 @@ class Batch:
         grams, c["gram"] = np.unique(_mix(context + _MIX[1], h[c["at"]]), return_inverse=True)
         c["contexts"], c["context"] = np.unique(context, return_inverse=True)
         c["keys"] = np.concatenate([grams, c["contexts"]])
-        c["order"] = np.argsort(c["keys"])
+        c["order"] = np.argsort(c["keys"], kind="stable")  # two sorted runs
         return c
 
     def counted(self, level: int) -> dict:
@@ -391,6 +391,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         known.append(exchange.run(gains, gains_kind(level), lambda sums: [s.astype(np.float32) for s in sums], gone=gone))
         tables += gone
         level += 1
+        del sent, asked, gains
+        common.release(spark)
 
     def judge(s: pa.Table, r: pa.Table) -> pa.Table:
         names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
