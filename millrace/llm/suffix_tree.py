@@ -99,6 +99,12 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
+def _places(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers below size in order, and each number's place among them, without a sort."""
+    there = np.bincount(x, minlength=size) > 0
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[x]
+
+
 def _table(rows: list[tuple]) -> pa.Table:
     cols = list(zip(*rows)) if rows else [[]] * 4
     return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=NAMES)
@@ -248,7 +254,13 @@ class Batch:
         h = self.hashes[self.tok]
         context = reduce(_mix, (h[c["at"] - j] for j in range(1, level + 1)), np.full(len(c["at"]), END_HASH))
         grams, c["gram"] = np.unique(_mix(context + _MIX[1], h[c["at"]]), return_inverse=True)
-        c["contexts"], c["context"] = np.unique(context, return_inverse=True)
+        if level == 1:  # by distinct words, not by tokens
+            before = self.tok[c["at"] - 1]
+            used, of = _places(before, len(self.hashes))
+            c["contexts"], rank = np.unique(_mix(END_HASH, self.hashes[used]), return_inverse=True)
+            c["context"] = rank[of]
+        else:
+            c["contexts"], c["context"] = np.unique(context, return_inverse=True)
         c["keys"] = np.concatenate([grams, c["contexts"]])
         c["order"] = np.argsort(c["keys"], kind="stable")  # two sorted runs
         return c
@@ -261,7 +273,7 @@ class Batch:
         size = len(c["keys"]) - len(c["contexts"])
         c["n"], c["seen"] = n[:size][c["gram"]], n[size:][c["context"]]
         c["often"] = c["seen"] >= LEAST
-        c["mine"], c["of"] = np.unique(c["context"][c["often"]], return_inverse=True)
+        c["mine"], c["of"] = _places(c["context"][c["often"]], len(c["contexts"]))
         with np.errstate(divide="ignore", invalid="ignore"):
             c["new"] = _smoothed(c["n"], c["seen"], c["p"])
         return c
