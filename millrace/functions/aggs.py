@@ -55,7 +55,7 @@ def check_fractions(q) -> list[float]:
 
 
 def quantile(df: DataFrame, c: str, q, interpolation: str = "linear", by: str | list[str] | None = None) -> DataFrame:
-    """Rows (by..., q, value). Linear is one aggregate; the other rules pick order statistics.
+    """Rows (by..., q, value) from order statistics; linear within groups is one aggregate.
 
     Without groups, the order statistics are found by counting value ranges first and
     sorting only the ranges that hold one, so no task sees all rows.
@@ -64,11 +64,11 @@ def quantile(df: DataFrame, c: str, q, interpolation: str = "linear", by: str |
     if interpolation not in INTERPOLATIONS:
         raise ValueError(f"interpolation is one of {', '.join(INTERPOLATIONS)}")
     keys = [by] if isinstance(by, str) else list(by or [])
-    if interpolation == "linear":
+    if interpolation == "linear" and keys:
         out = df.groupBy(*keys).agg(F.percentile(valid(c), F.array(*map(F.lit, q))).alias("_v"))
         pairs = F.arrays_zip(F.array(*map(F.lit, q)).alias("q"), F.col("_v").alias("value"))
         return out.select(*keys, F.inline_outer(pairs)).toDF(*keys, "q", "value")
-    picks = {"lower": ["floor"], "higher": ["ceil"], "midpoint": ["floor", "ceil"]}[interpolation]
+    picks = {"lower": ["floor"], "higher": ["ceil"]}.get(interpolation, ["floor", "ceil"])
     if keys:
         from pyspark.sql import Window
 
@@ -89,7 +89,14 @@ def quantile(df: DataFrame, c: str, q, interpolation: str = "linear", by: str |
         from ..operators.ordering import order_statistics
 
         at = order_statistics(rows, "_x", wanted)
-    values = [(x, sum(at[getattr(math, p)((n - 1) * x)] for p in picks) / len(picks) if n else None) for x in q]
+
+    def value(x: float) -> float | None:
+        if not n:
+            return None
+        ends, share = [at[getattr(math, p)((n - 1) * x)] for p in picks], (n - 1) * x % 1 if interpolation == "linear" else 0.5
+        return ends[0] + (ends[-1] - ends[0]) * share
+
+    values = [(x, value(x)) for x in q]
     return df.sparkSession.createDataFrame(values, "q double, value double")
 
 
@@ -128,6 +135,33 @@ def histogram(df: DataFrame, c: str, bins: int = 10, range: tuple[float, float]
     return edges.join(counts, "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
+def across(columns: list[ColumnLike], how: str, ddof: int = 0) -> Column:
+    """A reduction of several columns of one row (axis 1); missing values are left out, NULL where none is left."""
+    ok = F.filter(F.array(*(valid(c) for c in columns)), lambda x: x.isNotNull())
+    n = F.size(ok)
+    total = F.aggregate(ok, F.lit(0.0), lambda a, x: a + x)
+    if how in ("min", "max"):
+        return F.array_min(ok) if how == "min" else F.array_max(ok)
+    if how == "sum":
+        return F.when(n > 0, total)
+    if how == "mean":
+        return F.when(n > 0, total / n)
+    if how == "median":
+        s = F.array_sort(ok)
+        at = lambda i: F.get(s, i.cast("int"))
+        return (at(F.floor((n - 1) / 2)) + at(F.ceil((n - 1) / 2))) / 2
+    if how in ("var", "std"):
+        squares = F.aggregate(ok, F.lit(0.0), lambda a, x: a + (x - total / n) * (x - total / n))
+        spread = F.when(n > ddof, squares / F.when(n > ddof, n - ddof))
+        return spread if how == "var" else F.sqrt(spread)
+    raise ValueError("how is min, max, sum, mean, median, var or std")
+
+
+def stacked(df: DataFrame, columns: list[str], out: str = "x") -> DataFrame:
+    """All values of several columns as one (no axis), for any aggregate."""
+    return df.select(F.explode(F.array(*(valid(c) for c in columns))).alias(out))
+
+
 def distinct_sorted(c: ColumnLike) -> Column:
     """Sorted distinct values of a column of few categories."""
     return F.array_sort(F.collect_set(c))

@@ -60,21 +60,25 @@ def with_position(df: DataFrame, c: str, tiebreak: str, descending: bool = False
 
 
 def order_statistics(df: DataFrame, c: str, ks: list[int]) -> dict[int, float]:
-    """The k-th smallest valid values (0-based): only ranges that hold one are sorted."""
+    """The k-th smallest valid values (0-based), all in one pass over the ranges that hold one.
+
+    Equal values are counted before they are ordered, so that a frequent one is one row.
+    """
     rows = df.select(valid(c).alias("_x")).where("_x IS NOT NULL")
     rows = rows.withColumn("_b", with_bucket("_x", buckets_of(rows, "_x")))
-    offsets = _offsets(rows)
-    found: dict[int, float] = {}
+    counts = dict(sorted((r[0], r[1]) for r in rows.groupBy("_b").count().collect()))  # at most RANGES rows
+    start = dict(zip(counts, accumulate(counts.values(), initial=0)))
+    held = {}
     for k in ks:
-        held = [b for b, o in offsets.items() if o <= k]
-        if k < 0 or not held:
-            raise ValueError(f"no value at {k}")
-        b = max(held)
-        row = rows.where(F.col("_b") == b).orderBy("_x").offset(k - offsets[b]).limit(1).collect()
-        if not row:
+        if not 0 <= k < sum(counts.values()):
             raise ValueError(f"no value at {k}")
-        found[k] = row[0]["_x"]
-    return found
+        held[k] = max(b for b, at in start.items() if at <= k)
+    distinct = rows.where(F.col("_b").isin(*set(held.values()))).groupBy("_b", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    placed = distinct.withColumn("_to", upto)
+    inside = [(F.col("_b") == b) & (F.col("_to") > k - start[b]) & (F.col("_to") - F.col("_n") <= k - start[b]) for k, b in held.items()]
+    found = placed.where(reduce(Column.__or__, inside)).collect() if inside else []  # a row for each k at most
+    return {k: next(r["_x"] for r in found if r["_b"] == b and r["_to"] - r["_n"] <= k - start[b] < r["_to"]) for k, b in held.items()}
 
 
 def quickselect(df: DataFrame, c: str, k: int) -> float:
@@ -150,6 +154,19 @@ def topk(df: DataFrame, c: str, k: int, largest: bool = True, tiebreak: str | No
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn")
 
 
+top_k = topk
+
+
+def topk_indices(df: DataFrame, c: str, k: int, row_id: str, largest: bool = True) -> DataFrame:
+    """The row ids of the k largest or smallest values, in their order."""
+    return topk(df, c, k, largest, row_id).select(row_id)
+
+
+def topk_values(df: DataFrame, c: str, k: int, largest: bool = True) -> DataFrame:
+    """The k largest or smallest values, in their order."""
+    return topk(df.select(c), c, k, largest)
+
+
 def search_sorted(values: DataFrame, c: str, probes: DataFrame, probe: str) -> DataFrame:
     """(probe, idx, found): left insertion point of each probe among the values and whether one equals it.
 

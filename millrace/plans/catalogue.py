@@ -167,11 +167,18 @@ def batches_shuffled(spark, sf):
 
 _RANK = {
     "average": "rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0",
-    "dense": "dense_rank() OVER (ORDER BY x)", "ordinal": "row_number() OVER (ORDER BY x, l_orderkey)",
+    "dense": "dense_rank() OVER (ORDER BY x)", "ordinal": "row_number() OVER (ORDER BY x, l_orderkey * 10 + l_linenumber)",
 }
+
+
+def _rank(spark, sf, how):
+    x = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("t"))
+    return ordering.rank(x, "x", "t", how).drop("t")
+
+
 for _how, _sql in _RANK.items():
-    QUERIES[f"rank_{_how}"] = lambda spark, sf, how=_how: ordering.rank(table(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", F.col("l_quantity").alias("x")), "x", "l_orderkey", how)
-    ORACLES[f"rank_{_how}"] = f"SELECT l_orderkey, x, CAST({_sql} AS DOUBLE) AS rank FROM (SELECT l_orderkey, l_quantity AS x FROM lineitem WHERE l_linenumber = 1)"
+    QUERIES[f"rank_{_how}"] = lambda spark, sf, how=_how: _rank(spark, sf, how)
+    ORACLES[f"rank_{_how}"] = f"SELECT l_orderkey, l_linenumber, x, CAST({_sql} AS DOUBLE) AS rank FROM (SELECT *, l_quantity AS x FROM lineitem)"
 
 
 @query("rank_nan", "SELECT l_orderkey, l_linenumber, CAST(rank() OVER (PARTITION BY l_linenumber = 3 ORDER BY l_extendedprice) AS DOUBLE) + CASE WHEN l_linenumber = 3 THEN NULL ELSE 0 END + (count(*) OVER (PARTITION BY l_linenumber = 3, l_extendedprice) - 1) / 2.0 AS rank FROM lineitem")
@@ -414,4 +421,68 @@ def trainer_log(spark, sf):
     t = trainer.StreamTrainer(trees.StreamingDecisionTree(_FEATURES, "y"), states.StreamingStandardScaler(_FEATURES), [0, 1])
     for i in range(4):
         t.fit_chunk(df.where(F.pmod("l_orderkey", F.lit(4)) == i), i)
-    return t.get_log(spark).drop("timestamp", "memory_bytes")
+    return t.get_log(spark).drop("timestamp", "memory_bytes", "fit_time_s")
+
+
+_THREE = ["l_quantity", "x", "l_discount"]
+
+
+@query("stats_axis_1", f"""
+WITH v AS (SELECT l_orderkey, l_linenumber, list_filter([l_quantity, {NAN_X}, l_discount], lambda x: x IS NOT NULL) AS v FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(list_avg(v), 4) AS mean, round(list_median(v), 4) AS median, round(list_stddev_pop(v), 4) AS std, list_min(v) AS low, list_max(v) AS high FROM v""")
+def stats_axis_1(spark, sf):
+    a = lambda how: aggs.across(_THREE, how)
+    return injected(spark, sf).select("l_orderkey", "l_linenumber", r(a("mean")).alias("mean"), r(a("median")).alias("median"), r(a("std")).alias("std"), a("min").alias("low"), a("max").alias("high"))
+
+
+@query("stats_no_axis", f"SELECT count(x) AS n, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std, min(x) AS low, max(x) AS high FROM (SELECT unnest([l_quantity, {NAN_X}, l_discount]) AS x FROM lineitem)")
+def stats_no_axis(spark, sf):
+    return aggs.stacked(injected(spark, sf), _THREE).agg(F.count("x").alias("n"), r(aggs.mean("x")).alias("mean"), r(aggs.std("x")).alias("std"), aggs.minimum("x").alias("low"), aggs.maximum("x").alias("high"))
+
+
+def _streamed(spark, sf, stage):
+    """The stage after four chunks, over all rows."""
+    df = injected(spark, sf).select("l_orderkey", "l_linenumber", "l_returnflag", "x")
+    for i in range(4):
+        stage.partial_fit(df.where(F.pmod("l_orderkey", F.lit(4)) == i), batch_id=i)
+    return stage.transform(df)
+
+
+@query("stream_standard_scale", f"SELECT l_orderkey, l_linenumber, round((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 6) AS x FROM (SELECT *, {NAN_X} AS x FROM lineitem)")
+def stream_standard_scale(spark, sf):
+    return _streamed(spark, sf, states.StreamingStandardScaler(["x"])).select("l_orderkey", "l_linenumber", r(exprs.valid("x"), 6).alias("x"))
+
+
+@query("stream_minmax_scale", f"SELECT l_orderkey, l_linenumber, round((x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()), 6) AS x FROM (SELECT *, {NAN_X} AS x FROM lineitem)")
+def stream_minmax_scale(spark, sf):
+    return _streamed(spark, sf, states.StreamingMinMaxScaler(["x"])).select("l_orderkey", "l_linenumber", r(exprs.valid("x"), 6).alias("x"))
+
+
+@query("stream_impute", f"SELECT l_orderkey, l_linenumber, round(coalesce(x, avg(x) OVER ()), 4) AS x FROM (SELECT *, {NAN_X} AS x FROM lineitem)")
+def stream_impute(spark, sf):
+    return _streamed(spark, sf, states.StreamingImputer(["x"])).select("l_orderkey", "l_linenumber", r("x").alias("x"))
+
+
+@query("stream_onehot", "SELECT l_orderkey, l_linenumber, CAST(l_returnflag = 'A' AS INT) AS a, CAST(l_returnflag = 'N' AS INT) AS n, CAST(l_returnflag = 'R' AS INT) AS r FROM lineitem")
+def stream_onehot(spark, sf):
+    out = _streamed(spark, sf, states.StreamingOneHotEncoder(["l_returnflag"]))
+    return out.select("l_orderkey", "l_linenumber", *(F.col(f"l_returnflag_{c}").cast("int").alias(c.lower()) for c in "ANR"))
+
+
+@query("stream_metrics", """
+SELECT count(*) AS total_samples, round(avg(CAST(quality = toxic AS DOUBLE)), 8) AS accuracy,
+  round(sum(quality * toxic) / sum(toxic), 8) AS precision, round(sum(quality * toxic) / sum(quality), 8) AS recall FROM labels""")
+def stream_metrics(spark, sf):
+    m, df = states.StreamingMetrics(), table(spark, sf, "labels")
+    for i in range(4):
+        m.update(df.where(F.pmod("doc_id", F.lit(4)) == i), "quality", "toxic", batch_id=i)
+    out = m.result()
+    return spark.createDataFrame([(out["total_samples"], *(round(out[k], 8) for k in ("accuracy", "precision", "recall")))], "total_samples long, accuracy double, precision double, recall double")
+
+
+@query("stream_chunk_stats", f"SELECT CAST(count(x) AS BIGINT) AS n, round(avg(x), 4) AS mean, round(var_pop(x), 2) AS variance, min(x) AS low, max(x) AS high FROM (SELECT {NAN_X} AS x FROM lineitem)")
+def stream_chunk_stats(spark, sf):
+    s, df = states.ChunkStats(["x"]), injected(spark, sf)
+    for i in range(4):
+        s.update_stats(df.where(F.pmod("l_orderkey", F.lit(4)) == i), i)
+    return spark.createDataFrame([(s.state["x"].n, round(s.mean_["x"], 4), round(s.var_["x"], 2), s.min_["x"], s.max_["x"])], "n long, mean double, variance double, low double, high double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,8 +13,7 @@ def load_csv(spark: SparkSession, file_path: str, delimiter: str = ",", missing_
     """Columns c0, c1, ...: empty and unreadable fields become missing_value, `#` starts a comment,
     blank lines are left out, lines of differing length are an error.
 
-    skip_header leaves out each file's first lines. With it, lines are numbered by Spark's
-    own row order within the file.
+    skip_header leaves out the first lines of each file (of its first block).
     """
     if not isinstance(file_path, str):
         raise TypeError("file_path is text")
@@ -28,9 +27,11 @@ def load_csv(spark: SparkSession, file_path: str, delimiter: str = ",", missing_
     except AnalysisException as e:
         raise ValueError(f"cannot read {file_path}") from e
     if skip_header:
-        numbered = lines.select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"), "value")
-        cut = numbered.groupBy("f").agg(F.slice(F.array_sort(F.collect_list(F.when(F.col("i").bitwiseAND(F.lit((1 << 33) - 1)) < skip_header + 1, F.col("i")))), 1, skip_header).alias("head"))
-        lines = numbered.join(cut, "f").where(~F.array_contains("head", F.col("i"))).select("value")
+        # the id grows within a block of a file; a filter below it would change how blocks are packed
+        numbered = lines.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "value")
+        place = F.row_number().over(Window.partitionBy("f").orderBy("i"))
+        head = numbered.where("b = 0").select("f", "i", place.alias("n")).where(F.col("n") <= skip_header)
+        lines = numbered.join(head, ["f", "i"], "left_anti").select("value")
     stripped = lines.select(F.trim(F.regexp_replace("value", "#.*$", "")).alias("v") if delimiter.strip() else F.regexp_replace("value", "#.*$", "").alias("v"))
     parts = stripped.where(F.trim("v") != "").select(F.split("v", re.escape(delimiter), -1).alias("p"))
     low, high = parts.agg(F.min(F.size("p")), F.max(F.size("p"))).first()

@@ -60,12 +60,12 @@ class Replayable:
     last_batch: int | None = None
 
     def fresh(self, batch_id: int | None) -> bool:
-        if batch_id is None:
-            return True
-        if self.last_batch is not None and batch_id <= self.last_batch:
-            return False
-        self.last_batch = batch_id
-        return True
+        return batch_id is None or self.last_batch is None or batch_id > self.last_batch
+
+    def applied(self, batch_id: int | None) -> None:
+        """To be called after success, so that a batch that failed is applied when it comes again."""
+        if batch_id is not None:
+            self.last_batch = batch_id
 
 
 class StreamingStats(Replayable):
@@ -82,6 +82,7 @@ class StreamingStats(Replayable):
     def update_many(self, df: DataFrame, column: str, batch_id: int | None = None) -> StreamingStats:
         if self.fresh(batch_id):
             self.state = self.state.merge(moments_of(df, [column])[1][column])
+            self.applied(batch_id)
         return self
 
     def to_dict(self) -> dict:
@@ -119,6 +120,7 @@ class ChunkStats(Replayable):
             self.state = {c: self.state[c].merge(new[c]) for c in self.columns}
             self.chunk_means.append({c: new[c].mean if new[c].n else NAN for c in self.columns})
             self.chunks += 1
+        self.applied(batch_id)
         return self
 
     mean_ = property(lambda s: {c: m.mean if m.n else 0.0 for c, m in s.state.items()})
@@ -155,6 +157,7 @@ class _StreamStage(Stage, Replayable):
             if not rows:
                 raise ValueError("empty chunk")
             self.fitted = True
+            self.applied(batch_id)
         return self
 
 
@@ -258,7 +261,9 @@ class StreamingOneHotEncoder(_StreamStage):
 
 @dataclass
 class StreamingMetrics(Replayable):
-    """Accumulated and rolling metrics of label pairs, and the pooled AUC of scores.
+    """Accumulated and rolling metrics of label pairs, and the pooled AUC of scores in [0, 1].
+
+    Scores in one of `score_bins` equal bins count as ties; others are an error.
 
     compat: a label is truncated to an integer before it is checked, and the AUC is the
     constant 0.5 from the second scored chunk on.
@@ -285,7 +290,14 @@ class StreamingMetrics(Replayable):
             rows = rows.withColumn("y", F.col("y").cast("int").cast("double")).withColumn("p", F.col("p").cast("int").cast("double"))
         cells = {(r["y"], r["p"]): r["n"] for r in rows.groupBy("y", "p").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not cells:
+            self.applied(batch_id)
             return self
+        binned = {}
+        if y_score:  # before anything is added, so that a failure leaves the state as it was
+            if rows.where("NOT isnan(s) AND (s < 0 OR s > 1)").limit(1).count():
+                raise ValueError("scores lie in [0, 1]")
+            bin_of = F.least(F.floor(F.col("s") * self.score_bins), F.lit(self.score_bins - 1))
+            binned = {(r["b"], r["y"]): r["count"] for r in rows.where("NOT isnan(s)").groupBy(bin_of.alias("b"), "y").count().collect()}
         if self.n_classes == 2 and any(v not in (0.0, 1.0) for c in cells for v in c):
             raise ValueError("labels are 0 or 1")
         self.chunks += 1
@@ -296,10 +308,10 @@ class StreamingMetrics(Replayable):
         self.history.append(self._rates(cells, sum(cells.values())))
         if y_score:
             self.scored += 1
-            bin_of = F.least(F.greatest(F.floor(F.col("s") * self.score_bins), F.lit(0)), F.lit(self.score_bins - 1))
-            for r in rows.where("NOT isnan(s)").groupBy(bin_of.alias("b"), "y").count().collect():
-                pos, neg = self.scores.get(r["b"], (0, 0))
-                self.scores[r["b"]] = (pos + r["count"], neg) if r["y"] == 1 else (pos, neg + r["count"])
+            for (b, label), n in binned.items():
+                pos, neg = self.scores.get(b, (0, 0))
+                self.scores[b] = (pos + n, neg) if label == 1 else (pos, neg + n)
+        self.applied(batch_id)
         return self
 
     @staticmethod

@@ -65,7 +65,7 @@ class StreamingDecisionTree:
             missing = x.isNull() | F.isnan(x)
             to_right = self.nodes[node.right].n > self.nodes[node.left].n or (train and self.compat)
             low = (x <= node.threshold) & ~missing
-            return F.when(missing if not to_right else F.lit(False), at(node.left)).when(low, at(node.left)).otherwise(at(node.right))
+            return F.when(low if to_right else low | missing, at(node.left)).otherwise(at(node.right))  # each child once
 
         return at(0)
 
@@ -76,7 +76,6 @@ class StreamingDecisionTree:
         if batch_id is not None:
             if self.last_batch is not None and batch_id <= self.last_batch:
                 return self
-            self.last_batch = batch_id
         missing = [c for c in [*self.columns, self.label] if c not in df.columns]
         if missing:
             raise ValueError(f"missing columns: {', '.join(missing)}")
@@ -105,6 +104,8 @@ class StreamingDecisionTree:
                 if len(node.sample) > self.sample_cap:
                     node.sample = dict(sorted(node.sample.items(), key=lambda kv: kv[0])[:self.sample_cap])
                 self._try_split(node)
+        if batch_id is not None:
+            self.last_batch = batch_id
         return self
 
     def _vector(self, counts: dict) -> np.ndarray:

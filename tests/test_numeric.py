@@ -172,3 +172,42 @@ def test_nearest_of_many_queries(spark):
     for r in rows:
         m = r["q"] % 4
         assert r["p"] == (m if r["nearest"] == 1 else m + 1 if m < 3 else 2)
+
+
+def test_headers_of_many_files(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.csv").write_text("a,b\n" + "".join(f"{i},{k}\n" for k in range(5)))
+    rows = load_csv(spark, str(tmp_path), skip_header=1).collect()
+    assert sorted((r[0], r[1]) for r in rows) == [(float(i), float(k)) for i in range(40) for k in range(5)]
+
+
+def test_axis_reductions(spark):
+    df = spark.createDataFrame([(0, 1.0, 2.0, NAN), (1, 4.0, 5.0, 6.0), (2, None, NAN, None)], "row_id long, a double, b double, c double")
+    got = df.orderBy("row_id").select(*(aggs.across(["a", "b", "c"], h).alias(h) for h in ("mean", "median", "min", "max", "sum", "std"))).collect()
+    assert [r["mean"] for r in got] == [1.5, 5.0, None] and [r["median"] for r in got] == [1.5, 5.0, None]
+    assert tuple(got[0])[2:] == (1.0, 2.0, 3.0, 0.5) and tuple(got[2]) == (None,) * 6
+    assert aggs.stacked(df, ["a", "b", "c"]).agg(aggs.mean("x")).first()[0] == 3.6
+
+
+def test_order_statistics_in_one_pass(spark):
+    df = frame(spark, [5.0] * 300 + [float(i) for i in range(100)] + [NAN], 5)
+    values = sorted([5.0] * 300 + [float(i) for i in range(100)])
+    ks = [0, 4, 5, 200, 304, 305, 306, 399]
+    assert ordering.order_statistics(df, "x", ks) == {k: values[k] for k in ks}
+
+
+def test_errors_inside_fit_are_seen(spark):
+    class Broken:
+        calls = 0
+
+        def fit(self, df, y=None):
+            self.calls += 1
+            raise TypeError("inside")
+
+        def transform(self, df):
+            return df
+
+    step = Broken()
+    with pytest.raises(TypeError, match="inside"):
+        compose.Pipeline([("s", step)]).fit(frame(spark, [1.0]))
+    assert step.calls == 1

@@ -100,3 +100,34 @@ def test_pipeline_resets_on_fit(spark, points):
     p.fit(points)
     p.fit(points)
     assert p.named_steps["scale"].state["f0"].n == 2000 and accuracy(p, points) > 0.6
+
+
+def test_a_failed_chunk_is_applied_when_it_comes_again(spark, points):
+    s = states.ChunkStats(["a"])
+    with pytest.raises(Exception):
+        s.update_stats(spark.createDataFrame([("x",)], "a string").select(F.raise_error(F.lit("lost")).cast("double").alias("a")), 0)
+    assert s.update_stats(two(spark, [(1.0, 2.0)]), 0).chunks == 1
+
+    class Failing(trees.StreamingDecisionTree):
+        once = True
+
+        def partial_fit(self, df, classes=None, batch_id=None):
+            if self.once:
+                self.once = False
+                raise RuntimeError("lost")
+            return super().partial_fit(df, classes, batch_id)
+
+    scaler = states.StreamingStandardScaler(["f0", "f1"])
+    t = trainer.StreamTrainer(Failing(["f0", "f1"], "y"), scaler, [0, 1])
+    with pytest.raises(RuntimeError):
+        t.fit_chunk(points, 0)
+    assert t.fit_chunk(points, 0)["fit_time_s"] > 0
+    assert scaler.state["f0"].n == 2000 and len(t.log) == 1
+
+
+def test_routing_is_linear_in_the_nodes(spark):
+    t = trees.StreamingDecisionTree(["a"], "y")
+    t.nodes = [trees.Node(0, n=8, feature="a", threshold=0.0, left=1, right=2)] + [trees.Node(1, n=4, feature="a", threshold=float(s), left=3 + 2 * k, right=4 + 2 * k) for k, s in enumerate((-1, 1))] + [trees.Node(2, n=2) for _ in range(4)]
+    assert t._route(False)._jc.toString().upper().count("WHEN") == 3
+    df = spark.createDataFrame([(-2.0,), (-0.5,), (0.5,), (2.0,), (NAN,)], "a double")
+    assert [r[0] for r in df.select(t._route(False).alias("l")).collect()] == [3, 4, 5, 6, 3]
