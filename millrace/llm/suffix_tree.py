@@ -179,7 +179,10 @@ class Exchange:
             found = held.unionByName(up.where(F.col("kind") == ANSWER)).groupBy("node").applyInArrow(back, ROWS)
             found = found.unionByName(up.where(F.col("kind") == STATISTICS))
         named = found.select("node", "sender", F.when(F.col("kind") == ANSWER, F.lit(kind)).otherwise(F.col("kind")).cast("int").alias("kind"), "payload")
-        return common.written(named, "answers", gone)
+        done = common.written(named, "answers", gone)
+        del found, named
+        common.release(done.sparkSession)
+        return done
 
 
 def _smoothed(n: np.ndarray, seen: np.ndarray, suffix: np.ndarray) -> np.ndarray:
