@@ -17,7 +17,8 @@ context need not be kept itself).
 Counting and lookup are one primitive: tasks turn texts into batches (token ids, hashes
 of distinct words), written once and bucketed by batch, so that they never move again.
 In each round a batch sends its distinct keys (words, contexts with their next symbols,
-contexts) with numbers to nodes by hash; a node adds up what all batches sent and answers
+contexts; no n-gram that ends in a word of one place or of no training text, whose count is
+known) with numbers to nodes by hash; a node adds up what all batches sent and answers
 each in its own key order. A level takes two rounds: counts, then gains by context. With
 more than FAN batches the exchange has several stages, each with a fan of at most FAN,
 that add up on the way: messages grow with the batches times the logarithm of their
@@ -63,6 +64,8 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 ROWS = "node long, sender long, kind int, payload binary"
 NAMES = ["node", "sender", "kind", "payload"]
 MESSAGE, ANSWER, SCORES, STATISTICS, WORDS = 0, 1, 2, 3, 4
+#: What the nodes answer about a context.
+STAYS, COSTS = np.uint8(1), np.uint8(2)
 
 
 def counts_kind(level: int) -> int:
@@ -149,9 +152,17 @@ class Exchange:
         return [(to, node, ANSWER, _pack(*(a[where[lo:hi]] for a in answer))) for to, lo, hi in zip(senders, np.r_[0, ends[:-1]], ends)]
 
     def run(self, sent: DataFrame, kind: int, answer: Callable[[list[np.ndarray]], list[np.ndarray]], statistics: bool = False, stage: int = 1, gone: list[str] | None = None) -> DataFrame:
-        """The answers of a kind to all senders (and the statistics of the first sum), written."""
+        """The answers of a kind to all senders (and the statistics of the first sum), written.
+
+        Rows that batches send to themselves come along as they are, so that messages are
+        shuffled but never written with them.
+        """
+
+        own = F.col("node") < 0
 
         def last(rows: pa.Table) -> pa.Table:
+            if rows["node"][0].as_py() < 0:  # a batch's own rows go past the nodes
+                return rows
             keys, sums, *of = self.inbox(rows)
             out = self.answers(rows["node"][0].as_py(), answer(sums), *of)
             if statistics:
@@ -174,11 +185,12 @@ class Exchange:
         if stage == self.stages:
             found = sent.groupBy("node").applyInArrow(last, ROWS)
         else:
-            held = common.written(sent, "inbox", gone)
+            written = common.written(sent, "inbox", gone)
+            held = written.where(~own)
             up = self.run(held.groupBy("node").applyInArrow(on, ROWS), ANSWER, answer, statistics, stage + 1, gone)
             found = held.unionByName(up.where(F.col("kind") == ANSWER)).groupBy("node").applyInArrow(back, ROWS)
-            found = found.unionByName(up.where(F.col("kind") == STATISTICS))
-        named = found.select("node", "sender", F.when(F.col("kind") == ANSWER, F.lit(kind)).otherwise(F.col("kind")).cast("int").alias("kind"), "payload")
+            found = found.unionByName(up.where(F.col("kind") == STATISTICS)).unionByName(written.where(own))
+        named = found.select(F.when(own, -1 - F.col("node")).otherwise(F.col("node")).alias("node"), "sender", F.when(F.col("kind") == ANSWER, F.lit(kind)).otherwise(F.col("kind")).cast("int").alias("kind"), "payload")
         done = common.written(named, "answers", gone)
         del found, named
         common.release(done.sparkSession)
@@ -189,6 +201,12 @@ def _smoothed(n: np.ndarray, seen: np.ndarray, suffix: np.ndarray) -> np.ndarray
     return (n + WEIGHT * suffix) / (seen + WEIGHT)
 
 
+def _verdicts(sums: list[np.ndarray]) -> list[np.ndarray]:
+    """By context: whether it stays, and whether a longer one could gain enough."""
+    gain, cost, seen = sums
+    return [STAYS * ((gain >= GAIN) & (gain >= MEAN_GAIN * seen)).astype(np.uint8) + COSTS * (cost >= GAIN).astype(np.uint8)]
+
+
 def _gain(n: np.ndarray, seen: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     """Log-ratio of an occurrence under the context without it and under the suffix."""
     return np.log((n - 1 + WEIGHT * suffix) / (seen - 1 + WEIGHT) / suffix)
@@ -218,18 +236,30 @@ class Batch:
         parts = [p[i] for p in self.found.get(kind, [])]
         return np.concatenate(parts).astype(float) if parts else np.zeros(0)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct words' sorted hashes and their occurrences in training texts."""
-        order = np.argsort(self.hashes)
-        return self.hashes[order], np.bincount(self.tok[self.learns], minlength=len(self.hashes))[order].astype(np.uint64)
+    def words(self) -> tuple[np.ndarray, ...]:
+        """Distinct words' sorted hashes and their occurrences in training texts and in all."""
+        n = (np.bincount(tok, minlength=len(self.hashes))[self.order].astype(np.uint64) for tok in (self.tok[self.learns], self.tok))
+        return self.hashes[self.order], *n
 
     @cached_property
-    def counts(self) -> np.ndarray:
-        """c of every token."""
+    def order(self) -> np.ndarray:
+        return np.argsort(self.hashes)
+
+    def of_tokens(self, i: int) -> np.ndarray:
         c = np.zeros(len(self.hashes))
-        c[np.argsort(self.hashes)] = self.column(WORDS)
+        c[self.order] = self.column(WORDS, i)
         return c[self.tok]
 
+    @cached_property
+    def counts(self) -> np.ndarray:
+        """c of every token."""
+        return self.of_tokens(0)
+
+    @cached_property
+    def countable(self) -> np.ndarray:
+        """Tokens whose n-grams have to be counted: the others' words stand in no training text or in no other place."""
+        return (self.counts > 0) & (self.of_tokens(1) > 1)
+
     @cached_property
     def root(self) -> np.ndarray:
         c, t = self.counts, self.totals
@@ -239,24 +269,24 @@ class Batch:
         return np.where(c > 0, (c - d) / t["n"], d * t["v"] / t["n"])
 
     def candidates(self, level: int) -> dict:
-        """Tokens whose context of this length is a candidate, with the suffix's probability, the best one, and how often the suffix is seen."""
+        """Tokens whose context of this length is a candidate, with the suffix's probability, the best one, how often the suffix is seen, and whether the n-gram is asked for."""
         if carried_kind(level) in self.found:
-            at, p, best, wide = self.found[carried_kind(level)][0]
-            return {"at": np.cumsum(at), "p": p.astype(float), "best": best.astype(float), "wide": wide.astype(float)}
+            at, p, best, wide, asked = self.found[carried_kind(level)][0]
+            return {"at": np.cumsum(at), "p": p.astype(float), "best": best.astype(float), "wide": wide.astype(float), "asked": asked.astype(bool)}
         if level >= CARRIED:  # none were written
-            return {"at": np.zeros(0, np.int64), "p": np.zeros(0), "best": np.zeros(0), "wide": np.zeros(0)}
+            return {"at": np.zeros(0, np.int64), "p": np.zeros(0), "best": np.zeros(0), "wide": np.zeros(0), "asked": np.zeros(0, bool)}
         if level > 1:
             return self.judged(level - 1)[0]
         before = np.r_[0.0, self.counts[:-1]]
         at = np.flatnonzero((self.place >= 1) & (before >= LEAST))
-        return {"at": at, "p": self.root[at], "best": self.root[at], "wide": np.full(len(at), float(self.totals["n"]))}
+        return {"at": at, "p": self.root[at], "best": self.root[at], "wide": np.full(len(at), float(self.totals["n"])), "asked": self.countable[at]}
 
     def keyed(self, level: int) -> dict:
         """The candidates with the places of their n-gram and context among the keys of the level."""
         c = self.candidates(level)
         h = self.hashes[self.tok]
         context = reduce(_mix, (h[c["at"] - j] for j in range(1, level + 1)), np.full(len(c["at"]), END_HASH))
-        grams, c["gram"] = np.unique(_mix(context + _MIX[1], h[c["at"]]), return_inverse=True)
+        grams, c["gram"] = np.unique(_mix(context[c["asked"]] + _MIX[1], h[c["at"][c["asked"]]]), return_inverse=True)
         if level == 1:  # by distinct words, not by tokens
             before = self.tok[c["at"] - 1]
             used, of = _places(before, len(self.hashes))
@@ -274,7 +304,8 @@ class Batch:
         n = np.zeros(len(c["keys"]))
         n[c["order"]] = self.column(counts_kind(level))
         size = len(c["keys"]) - len(c["contexts"])
-        c["n"], c["seen"] = n[:size][c["gram"]], n[size:][c["context"]]
+        c["n"], c["seen"] = self.learns[c["at"]].astype(float), n[size:][c["context"]]
+        c["n"][c["asked"]] = n[:size][c["gram"]]
         c["often"] = c["seen"] >= LEAST
         c["mine"], c["of"] = _places(c["context"][c["often"]], len(c["contexts"]))
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -284,10 +315,10 @@ class Batch:
     def judged(self, level: int) -> tuple[dict, np.ndarray]:
         """The candidates one word longer, and what kept contexts of the level add to each text's score."""
         c = self.counted(level)
-        often, seen = c["often"], c["seen"][c["often"]]
-        gain, cost = (self.column(gains_kind(level), i)[c["of"]] if len(c["of"]) else np.zeros(0) for i in (0, 1))
+        often, seen, asked = c["often"], c["seen"][c["often"]], c["asked"][c["often"]]
+        verdict = self.column(gains_kind(level)).astype(np.uint8)[c["of"]] if len(c["of"]) else np.zeros(0, np.uint8)
         at, new, best = c["at"][often], c["new"][often], c["best"][often]
-        stays = (gain >= GAIN) & (gain >= MEAN_GAIN * seen)
+        stays = verdict & STAYS > 0
         more = np.bincount(self.doc[at[stays]], np.log10(new[stays]) - np.log10(best[stays]), minlength=len(self.lens))
         best = np.where(stays, new, best)
         # the longer context is the n-gram that ends one token earlier: known to be rare, or to be counted
@@ -296,8 +327,8 @@ class Batch:
             rare = (c["at"][i] == at - 1) & ~(often[i] & (c["n"][i] >= LEAST))
         else:
             rare = np.zeros(0, bool)
-        goes_on = (cost >= GAIN) & (seen * SPLIT <= c["wide"][often] * (SPLIT - 1)) & (self.place[at] > level) & ~rare
-        return {"at": at[goes_on], "p": new[goes_on], "best": best[goes_on], "wide": seen[goes_on]}, more
+        goes_on = (verdict & COSTS > 0) & (seen * SPLIT <= c["wide"][often] * (SPLIT - 1)) & (self.place[at] > level) & ~rare
+        return {"at": at[goes_on], "p": new[goes_on], "best": best[goes_on], "wide": seen[goes_on], "asked": asked[goes_on]}, more
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,7 +380,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
                 b = Batch(pa.Table.from_batches([rows.slice(i, 1)]), None, None)
                 yield from _table(send(b, *b.words())).to_batches()
 
-    as_counts = lambda sums: [sums[0].astype(np.uint64)]
+    as_counts = lambda sums: [s.astype(np.uint64) for s in sums]
     first = exchange.run(states.mapInArrow(send_words, ROWS), WORDS, as_counts, statistics=True)
     totals = {k: 0 for k in ("n", "v", "n1", "n2")}
     totals |= {list(totals)[r["node"]]: r["s"] for r in first.where(F.col("kind") == STATISTICS).groupBy("node").agg(F.sum("sender").alias("s")).collect()}
@@ -361,15 +392,15 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
             if level > 1:
                 c, more = b.judged(level - 1)
                 if more.any():
-                    out.append((b.number, level, SCORES, _pack(more)))
+                    out.append((-1 - b.number, level, SCORES, _pack(more)))
                 if level >= CARRIED and len(c["at"]):
-                    out.append((b.number, 0, carried_kind(level), _pack(np.diff(c["at"], prepend=0), c["p"].astype(np.float32), c["best"].astype(np.float32), c["wide"].astype(np.uint64))))
+                    out.append((-1 - b.number, 0, carried_kind(level), _pack(np.diff(c["at"], prepend=0), c["p"].astype(np.float32), c["best"].astype(np.float32), c["wide"].astype(np.uint64), c["asked"].astype(np.uint8))))
                     b.found[carried_kind(level)] = [_unpack(out[-1][-1])]  # as the next round reads it
                 if not len(c["at"]):
                     return out
             c = b.keyed(level)
             learns = b.learns[c["at"]]
-            m = np.concatenate([np.bincount(c["gram"], learns, minlength=len(c["keys"]) - len(c["contexts"])), np.bincount(c["context"], learns, minlength=len(c["contexts"]))])
+            m = np.concatenate([np.bincount(c["gram"], learns[c["asked"]], minlength=len(c["keys"]) - len(c["contexts"])), np.bincount(c["context"], learns, minlength=len(c["contexts"]))])
             return out + send(b, c["keys"][c["order"]], m[c["order"]].astype(np.uint64))
 
         return do
@@ -383,7 +414,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
             with np.errstate(divide="ignore", invalid="ignore"):
                 gain, cost = np.where(learns, _gain(n, seen, p), 0.0), np.where(learns, -np.log(new), 0.0)
             sums = [np.bincount(c["of"], x, minlength=len(c["mine"])) for x in (gain, cost)]
-            return send(b, c["contexts"][c["mine"]], *sums)
+            return send(b, c["contexts"][c["mine"]], *sums, np.bincount(c["of"], learns, minlength=len(c["mine"])).astype(np.uint64))
 
         return do
 
@@ -392,18 +423,18 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     while True:
         gone: list[str] = []  # of this level
         sent = on_batches(reduce(DataFrame.unionByName, known), send_counts(level), totals)
-        if level > 1:  # a batch's own rows and its messages
-            sent = common.written(sent, "sent", gone)
-            scores.append(common.written(sent.where(F.col("kind") == SCORES), "scores"))
-        asked = exchange.run(sent.where(F.col("kind") == MESSAGE), counts_kind(level), as_counts, gone=gone)
+        asked = exchange.run(sent, counts_kind(level), as_counts, gone=gone)
+        if level > 1:
+            scores.append(common.written(asked.where(F.col("kind") == SCORES), "scores"))
+            asked = asked.where(F.col("kind") != SCORES)
         if asked.isEmpty():
             break
-        if level >= CARRIED:
+        if level >= CARRIED:  # what batches carry is all they need
             common.remove(spark, tables)
-            known = [sent.where(F.col("kind") == carried_kind(level))]
+            known = []
         known.append(asked)
         gains = on_batches(reduce(DataFrame.unionByName, known), send_gains(level), totals)
-        known.append(exchange.run(gains, gains_kind(level), lambda sums: [s.astype(np.float32) for s in sums], gone=gone))
+        known.append(exchange.run(gains, gains_kind(level), _verdicts, gone=gone))
         tables += gone
         level += 1
         del sent, asked, gains
