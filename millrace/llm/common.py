@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,11 +52,27 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Writes in this block delete their shuffle files as they end: the table stands, nobody reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, what: str, gone: list[str] | None = None) -> DataFrame:
     """The rows, written in the shared folder and read again; the path is added to `gone`."""
     spark = df.sparkSession
     path = scratch_path(spark, what)
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     if gone is not None:
         gone.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -67,7 +84,8 @@ def bucketed(df: DataFrame, what: str, by: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, what)
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    df.repartition(n, by).write.option("path", path).format("parquet").bucketBy(n, by).sortBy(by).saveAsTable(name)
+    with shuffles_freed(spark):
+        df.repartition(n, by).write.option("path", path).format("parquet").bucketBy(n, by).sortBy(by).saveAsTable(name)
     return spark.table(name)
 
 
