@@ -146,14 +146,9 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """The worker's codec; built once per worker and reused by its later tasks."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(load_ranks(path), pattern)
-    return _codecs[path, pattern]
+    return common.kept(("codec", path, pattern), lambda: Codec(load_ranks(path), pattern))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -103,6 +103,25 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: What a Python worker keeps from task to task: the table of one operator.
+_kept: dict = {}
+
+
+def kept(key: tuple, build: Callable[[], object]):
+    """The worker's table, built once and reused by its later tasks; a worker that comes to another operator lets the one before go."""
+    if key not in _kept:
+        let_go()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """A worker of an earlier stage frees what that stage kept."""
+    if _kept:
+        _kept.clear()
+        gc.collect()  # caches and the tables they fill from refer to each other
+
+
 def free_name(taken: Iterable[str], base: str) -> str:
     """A column name that no given one equals, in any case."""
     taken = {t.lower() for t in taken}

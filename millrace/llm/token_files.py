@@ -172,14 +172,9 @@ class _Encoder:
             del found[c]
 
 
-_encoders: dict[str, _Encoder] = {}
-
-
 def _encoder(path: str) -> _Encoder:
     """The worker's encoder; built once per worker and reused by its later tasks."""
-    if path not in _encoders:
-        _encoders[path] = _Encoder(path)
-    return _encoders[path]
+    return common.kept(("encoder", path), lambda: _Encoder(path))
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:

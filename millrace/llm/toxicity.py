@@ -188,6 +188,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id",
     shipped = docs.sparkSession.sparkContext.broadcast(fitted)  # bounded by the sample's size
 
     def run(batches):
+        common.let_go()
         fitted = shipped.value
         for batch in common.slices(batches):
             out = [judged(fitted, t) if fitted else 0.0 for t in common.texts_of(batch.column(1))]
@@ -206,6 +207,7 @@ def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shipped = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches):
+        common.let_go()
         for batch in common.slices(batches):
             texts = common.texts_of(batch.column(batch.schema.get_field_index(text_col)))
             yield batch.filter(pa.array([judged(shipped.value, t) < threshold for t in texts], pa.bool_()))

@@ -503,3 +503,17 @@ def test_suffix_tree_against_brute_force(spark, monkeypatch, size, fan):
     assert deepest >= 3
     for (i, _), x in zip(rows, want):
         assert abs(got[i] - x) < 1e-4 * max(1, abs(x)), (i, got[i], x)
+
+
+def test_workers_keep_one_operators_table():
+    import weakref
+
+    import public_tokenizers as public
+
+    first = weakref.ref(bpe.codec(public.path("byte_bpe_50k.tiktoken"), public.PATTERN))
+    assert bpe.codec(public.path("byte_bpe_50k.tiktoken"), public.PATTERN) is first()
+    token_files._encoder(public.path("byte_bpe_50k.json"))
+    assert first() is None
+    second = weakref.ref(token_files._encoder(public.path("byte_bpe_50k.json")))
+    common.let_go()  # as the toxicity and near-duplicate stages begin
+    assert second() is None
