@@ -17,9 +17,16 @@ are pruned before the full Hamming check.
 Each key's rows give the links of a minimum spanning forest by Hamming distance, so every
 row meets the nearest one of each of its keys, and near copies in thousands give
 thousands of links, not all pairs. Every link is then checked exactly: it stays at a
-Jaccard similarity of the shingle sets of J or more. Classes are components of these.
-A pair near the similarity may share no key, or only keys in which both have nearer
-rows; README gives the measured recall.
+Jaccard similarity of the shingle sets of J or more. Components of these are classes so far.
+
+A pair at the similarity may share no key, or only keys in which both have nearer rows. So
+an exact pass follows: in one order of all shingles, sets of a similarity of J share one of
+their first n - ceil(J n) + 1 of n. Rows of different classes that share one there meet, if
+their sizes and the places of the shingle in them admit J; pairs whose parity sketches
+differ in more bits than J admits go (each shingle of one set alone flips one bit), and the
+others are checked in full. Classes joined by these links are the result: no link is left
+out. The order has shingles that a bounded sample shows to be frequent last; the sample
+changes the time that this takes and never a link.
 
 Work is on distinct sets of shingles (fingerprint and digest). A key of more than BLOCK
 rows is cut into blocks, and each pair of blocks is a group of its own.
@@ -51,6 +58,10 @@ BITS = 64 * WORDS
 FOUND = 0.987
 #: Rows of a key that one group compares; of more, each pair of blocks of half the size is a group.
 BLOCK = 16384
+#: Texts whose shingles are counted for the order, and in how many of them a frequent shingle is.
+SAMPLE, FREQUENT = 8192, 4
+#: Bits of a parity sketch; pairs that are gathered before they go on.
+SKETCH, GATHERED = 1024, 1 << 18
 #: Block pairs are broadcast up to so many heavy keys.
 FEW = 100_000
 FP = [f"w{k}" for k in range(WORDS)]
@@ -100,19 +111,63 @@ def folded(h: np.ndarray) -> np.ndarray:
     return majority(mixed)
 
 
-def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """id, a 128-bit hash of the text, the four words and the digest of every row."""
+def least_shared(n: np.ndarray | int, similarity: float) -> np.ndarray:
+    """Shingles that sets of n in all, both counted, share at the similarity; a rounding error asks for fewer."""
+    return np.ceil(n * (similarity / (1 + similarity)) - 1e-6)
+
+
+def head(h: np.ndarray, similarity: float, often: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first shingles, one of which any set of the similarity shares: by how often the sample has them, then by hash."""
+    most = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1
+    if len(h) and len(often):
+        at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+        n = np.where(often[at] == h, times[at], 0)
+        if n.any():
+            h = h[np.argsort(n, kind="stable")]
+    return h[:most]
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """Parity of the shingles that fall on each bit."""
+    return np.packbits(np.bincount((h >> np.uint64(54)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+
+
+def frequent(docs: DataFrame, shingle: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that FREQUENT of SAMPLE texts have, and how many have them."""
+    share = min(1.0, SAMPLE / max(docs.count(), 1))
+    sample = docs.select(F.col(text_col).alias("text")).where(F.xxhash64(F.lit("order"), "text").bitwiseAND(F.lit((1 << 30) - 1)) < int(share * (1 << 30)))
+
+    def run(batches):
+        for batch in common.slices(batches):
+            for t in set(common.texts_of(batch.column(0))):
+                yield pa.RecordBatch.from_arrays([pa.array(grams(t, shingle).view(np.int64))], names=["g"])
+
+    found = sample.mapInArrow(run, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).toArrow()
+    g, n = (found.column(k).to_numpy() for k in ("g", "n"))
+    order = np.argsort(g.view(np.uint64))
+    return g.view(np.uint64)[order], n[order]
+
+
+def fingerprints(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str, ordered) -> DataFrame:
+    """id, a 128-bit hash of the text, the four words, the digest, the number of shingles, the first ones and the sketch of every row.
+
+    ordered: the frequent shingles, broadcast."""
 
     def run(batches):
+        common.let_go()
+        often, times = ordered.value
         for batch in common.slices(batches):
             sets = [grams(t, shingle) for t in common.texts_of(batch.column(2))]
             fps = np.array([folded(h) for h in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
             d = pa.array([digest(h) for h in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(fps[:, k]) for k in range(WORDS)), d], names=["id", "h", *FP, "d"])
+            n = pa.array([len(h) for h in sets], pa.int64())
+            first = pa.array([head(h, similarity, often, times).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            cols = [batch.column(0), batch.column(1), *(pa.array(fps[:, k]) for k in range(WORDS)), d, n, first, pa.array([sketch(h) for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "h", *FP, "d", "n", "head", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), common.text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, h string, " + ", ".join(f"{c} long" for c in (*FP, "d")))
+    return rows.mapInArrow(run, f"id {kind}, h string, " + ", ".join(f"{c} long" for c in (*FP, "d", "n")) + ", head array<bigint>, sketch binary")
 
 
 def keys(fp: np.ndarray, tables: np.ndarray) -> Iterator[np.ndarray]:
@@ -232,6 +287,81 @@ def links(distinct: DataFrame, most: int, tables: np.ndarray, block: int = 0) ->
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _meetings(rows: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs among rows (g, pair, rep, root, n, place) sorted by g, pair: of other roots, sizes and places that admit the similarity."""
+    begin = np.flatnonzero(np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])])
+    size = np.diff(np.r_[begin, len(rows)])
+    use = np.minimum.reduceat(rows[:, 3], begin) != np.maximum.reduceat(rows[:, 3], begin)
+    rows, group = rows[np.repeat(use, size)], np.repeat(np.arange(use.sum()), size[use])
+    rep, root, n, left = rows[:, 2], rows[:, 3], rows[:, 4], rows[:, 4] - rows[:, 5]
+    us, vs, held = [], [], 0
+
+    def flush():
+        u, v = np.concatenate(us), np.concatenate(vs)
+        pairs = np.unique(np.column_stack([np.minimum(u, v), np.maximum(u, v)]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    a, lag = np.arange(len(rows)), 0
+    while len(a):  # every row with the next of its group, the one after it and so on
+        lag += 1
+        a = a[a + lag < len(rows)]
+        a = a[group[a] == group[a + lag]]
+        b = a + lag
+        ok = (root[a] != root[b]) & (np.minimum(left[a], left[b]) >= least_shared(n[a] + n[b], similarity))
+        if ok.any():
+            us.append(rep[a[ok]])
+            vs.append(rep[b[ok]])
+            held += len(us[-1])
+            if held >= GATHERED:
+                yield flush()
+                us, vs, held = [], [], 0
+    if us:
+        yield flush()
+
+
+def missed(rows: DataFrame, nodes: DataFrame, similarity: float, often: np.ndarray, block: int = 0) -> DataFrame:
+    """Pairs (u < v) of other classes that may have the similarity: all that have it are among them.
+
+    rows: id, h, n, head, sketch. nodes: rep with the id and text hash of one of its rows, and its root so far."""
+    block = block or BLOCK
+    spark = rows.sparkSession
+
+    def meet(batches):
+        held = None
+        for batch in batches:
+            now = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
+            now = now if held is None else np.concatenate([held, now])
+            if not len(now):
+                continue
+            other = np.flatnonzero((now[:, 0] != now[-1, 0]) | (now[:, 1] != now[-1, 1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            held = now[cut:]
+            if cut:
+                yield from _meetings(now[:cut], similarity)
+        if held is not None and len(held):
+            yield from _meetings(held, similarity)
+
+    def alike(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(batch.num_rows, -1) for k in (4, 5))
+                n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+                ok = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= n - 2 * least_shared(n, similarity)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok))
+
+    of = nodes.select(F.col("id").alias("_nid"), F.col("h").alias("_nh"), "rep", "root")
+    sets = rows.select("id", "h", "n", "head", "sketch").join(of, (F.col("h") == F.col("_nh")) & F.col("id").eqNullSafe(F.col("_nid")))
+    sets = common.written(sets.select("rep", "root", "n", "head", "sketch"), "heads")
+    dealt = sets.select(F.posexplode("head").alias("place", "g"), "rep", "root", "n").select("g", "rep", "root", "n", F.col("place").cast("long").alias("place"))
+    known = spark.createDataFrame([(int(g),) for g in often.view(np.int64)], "g long")
+    heavy = dealt.join(F.broadcast(known), "g").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    dealt = _dealt(dealt, common.written(heavy, "heavy-shingles"), block)
+    ordered = dealt.select("g", "pair", "rep", "root", "n", "place").repartition("g", "pair").sortWithinPartitions("g", "pair")
+    pairs = common.written(ordered.mapInArrow(meet, "u long, v long").distinct(), "meetings")
+    a, b = (sets.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")).dropDuplicates([c]) for c in "uv")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(alike, "u long, v long")
+
+
 def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (u, v) whose sets of shingles are similar enough. nodes: rep with the id and text hash of one of its rows."""
 
@@ -258,14 +388,23 @@ def classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col:
     Of each class the smallest id is kept, of rows that share it the one with the smallest
     hash; rows that repeat both id and text are one document and stay together.
     """
-    rows = common.written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")  # computed once, read twice
+    often, times = frequent(docs, shingle, text_col)
+    ordered = docs.sparkSession.sparkContext.broadcast((often, times))  # bounded by the sample's size
+    rows = common.written(fingerprints(docs, shingle, similarity, id_col, text_col, ordered), "fingerprints")  # computed once, read often
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")
     distinct = rows.groupBy(*FP, "d").agg(first).select(*FP, "d", "first", F.monotonically_increasing_id().alias("rep"))
     distinct = common.written(distinct, "distinct")
     pairs = common.written(links(distinct, tau(similarity), tables_for(distinct.count(), similarity)), "candidates")
     nodes = distinct.select("rep", "first.id", "first.h")
-    roots = components(checked(pairs, docs, nodes, similarity, shingle, id_col, text_col))
-    linked = distinct.select("rep", "first").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("rep", "first", F.coalesce("root", "rep").alias("root"))
+    roots = components(checked(pairs, docs, nodes, similarity, shingle, id_col, text_col)).select(F.col("node").alias("rep"), "root")
+    linked = common.written(distinct.select("rep", "first").join(roots, "rep", "left").select("rep", "first", F.coalesce("root", "rep").alias("root")), "linked")
+    more = common.written(missed(rows, linked.select("rep", "root", "first.id", "first.h"), similarity, often), "missed")
+    more = common.written(checked(more, docs, nodes, similarity, shingle, id_col, text_col), "late-links")
+    if not more.isEmpty():
+        a, b = (linked.select(F.col("rep").alias(c), F.col("root").alias(f"r{c}")) for c in "uv")
+        joined = components(more.join(a, "u").join(b, "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+        joined = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        linked = linked.join(joined, "root", "left").select("rep", "first", F.coalesce("to", "root").alias("root"))
     best = linked.groupBy("root").agg(F.min("first").alias("best"))
     named = distinct.select("rep", *FP, "d").join(linked.select("rep", "root"), "rep").join(best, "root").select(*FP, "d", "best")
     kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))

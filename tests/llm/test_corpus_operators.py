@@ -505,6 +505,27 @@ def test_suffix_tree_against_brute_force(spark, monkeypatch, size, fan):
         assert abs(got[i] - x) < 1e-4 * max(1, abs(x)), (i, got[i], x)
 
 
+@pytest.mark.parametrize("block", [similar.BLOCK, 8])
+def test_similar_loses_no_link_at_the_similarity(spark, block, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(21)
+    word = lambda: rng.choice(WORDS) + str(rng.randrange(10**6))
+    common_part = [word() for _ in range(30)]  # of half the texts
+    rows = []
+    for k in range(240):  # pairs just at the similarity, or just below it
+        base = [word() for _ in range(150)] + common_part * (k % 2)
+        cut = int(0.2 * (len(base) - 4)) + (k % 4 == 3)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[cut:]))]
+    base = [word() for _ in range(200)]
+    for k in range(80):  # a crowd, some pairs of which are alike enough
+        rows.append((len(rows), " ".join(w if rng.random() > 0.02 else word() for w in base)))
+    got = {r["doc_id"]: r["component_id"] for r in similar.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    grams = {i: set(five_words(t)) for i, t in rows}
+    share = lambda i, j: len(grams[i] & grams[j]) / len(grams[i] | grams[j])
+    assert sum(0.8 <= share(2 * k, 2 * k + 1) < 0.81 for k in range(240)) == 180
+    assert got == linked(grams, 0.8)
+
+
 def test_workers_keep_one_operators_table():
     import weakref
 
