@@ -78,20 +78,23 @@ def written(df: DataFrame, what: str, gone: list[str] | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, what: str, by: str) -> DataFrame:
-    """The rows, written in the shared folder and bucketed, so that grouping by the column moves none of them."""
+def bucketed(df: DataFrame, what: str, by: str, gone: list[str] | None = None) -> DataFrame:
+    """The rows, written in the shared folder and bucketed, so that grouping by the column moves none of them; the path is added to `gone`."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, what)
     name = path.rsplit("/", 1)[1].replace("-", "_")
     with shuffles_freed(spark):
         df.repartition(n, by).write.option("path", path).format("parquet").bucketBy(n, by).sortBy(by).saveAsTable(name)
+    if gone is not None:
+        gone.append(path)
     return spark.table(name)
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Delete scratch tables that nothing reads any more."""
     for path in paths:
+        spark.sql(f"DROP TABLE IF EXISTS `{path.rsplit('/', 1)[1].replace('-', '_')}`")  # of bucketed ones
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     paths.clear()

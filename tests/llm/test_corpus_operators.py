@@ -538,3 +538,41 @@ def test_workers_keep_one_operators_table():
     second = weakref.ref(token_files._encoder(public.path("byte_bpe_50k.json")))
     common.let_go()  # as the toxicity and near-duplicate stages begin
     assert second() is None
+
+
+def test_suffix_tree_asks_only_what_is_not_known():
+    import pickle
+
+    known, end = suffix_tree.WORDS, suffix_tree.END_HASH
+    for x in (np.array([-3, 0, 7], np.int64), np.array([5, -1], np.int32)):
+        assert (suffix_tree._unpack(suffix_tree._pack(x))[0] == x).all()
+    hashes = np.array([end, 11, 22, 33], np.uint64)
+    tok = np.array([1, 2] * 10 + [3, 0], np.int32)  # (a b) ten times, c once, the end
+    state = suffix_tree._table([(0, 0, 0, pickle.dumps(([0], suffix_tree._pack(np.ones(1, np.uint8), np.array([len(tok)]), tok, hashes))))])
+    b = suffix_tree.Batch(state, None, {"n": 22, "v": 4, "n1": 2, "n2": 0})
+    counts = np.array([1, 10, 10, 1], np.uint64)[b.order]
+    b.found[known] = [[counts, counts]]
+    c = b.keyed(1)
+    assert len(c["keys"]) == 2  # a b and b a; not b c, which stands once, and not the contexts a and b
+    pairs = suffix_tree._mix(b.hashed(np.array([1, 2]), 1) + suffix_tree._MIX[1], hashes[[2, 1]])
+    n = np.array([10, 9], np.uint64)[np.argsort(pairs)]
+    b.found[suffix_tree.counts_kind(1)] = [suffix_tree._tallies([n, np.zeros(2, np.uint64)])]
+    c = b.counted(1)
+    assert c["seen"].tolist() == [10.0] * 20 and c["n"].tolist() == [10.0, 9.0] * 9 + [10.0, 1.0]
+
+
+def test_suffix_tree_of_rare_words_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "BATCH_BYTES", 3000)
+    rng = random.Random(3)
+    after, rows = {}, []
+    for i in range(90):  # the next word follows from the last two; held-out texts share words that stand once or twice in training ones
+        w = [rng.choice("abcdef") for _ in range(2)]
+        while len(w) < 70:
+            w.append(after.setdefault(tuple(w[-2:]), rng.choice("abcdef")) if rng.random() < 0.75 else rng.choice(["a", "b", "c", "d", "e", "f", f"r{rng.randint(0, 150)}"]))
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(df, F.col("doc_id") % 5 == 0).collect()}
+    want, deepest = brute_suffix_tree([text_of(t).split() for _, t in rows], [i % 5 != 0 for i, _ in rows])
+    assert deepest >= 2
+    for (i, _), x in zip(rows, want):
+        assert abs(got[i] - x) < 1e-4 * max(1, abs(x)), (i, got[i], x)
