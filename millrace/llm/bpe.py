@@ -180,12 +180,29 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, `ids` and `decoded` like decode(encode(...)), in one Python worker a task instead of two that each hold the tables."""
+
+    def run(batches):
+        tok = codec(ranks_path, pattern)
+        for batch in common.slices(batches, 256):
+            packed = [tok.packed(text or "") for text in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, packed)]) // 4
+            ids = np.frombuffer(b"".join(packed), "<i4")
+            out = [tok.decode(ids[lo:hi].tolist()) for lo, hi in zip(ends[:-1], ends[1:])]
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(out, pa.binary())], names=[id_col, "ids", "decoded"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """Round trip with the public 50k ranks, as digests."""
     import public_tokenizers as public
 
     path, pattern = public.path("byte_bpe_50k.tiktoken"), public.PATTERN
-    trip = decode(encode(docs, path, pattern), path, pattern)
+    trip = round_trip(docs, path, pattern)
     return trip.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,6 +124,9 @@ def let_go() -> None:
     if _kept:
         _kept.clear()
         gc.collect()  # caches and the tables they fill from refer to each other
+        pa.default_memory_pool().release_unused()
+        with suppress(AttributeError, OSError):  # glibc keeps what is freed; other libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def free_name(taken: Iterable[str], base: str) -> str:

@@ -576,3 +576,12 @@ def test_suffix_tree_of_rare_words_against_brute_force(spark, monkeypatch):
     assert deepest >= 2
     for (i, _), x in zip(rows, want):
         assert abs(got[i] - x) < 1e-4 * max(1, abs(x)), (i, got[i], x)
+
+
+def test_round_trip_takes_one_worker_a_task(docs):
+    path, pattern = public.path("byte_bpe_50k.tiktoken"), public.PATTERN
+    plan = bpe.digests(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # each would be a Python worker with tables of its own
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["ids"])
+    want = bpe.decode(bpe.encode(docs, path, pattern), path, pattern).collect()
+    assert sorted(bpe.round_trip(docs, path, pattern).collect(), key=key) == sorted(want, key=key)
