@@ -585,3 +585,24 @@ def test_round_trip_takes_one_worker_a_task(docs):
     key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["ids"])
     want = bpe.decode(bpe.encode(docs, path, pattern), path, pattern).collect()
     assert sorted(bpe.round_trip(docs, path, pattern).collect(), key=key) == sorted(want, key=key)
+
+
+def test_similar_makes_no_pairs_of_unlike_texts(spark, monkeypatch):
+    monkeypatch.setattr(similar, "FREQUENT", 10**6)  # no shingle is known to be frequent, as in a table much larger than the sample
+    made, written = {}, common.written
+
+    def noted(df, what, *rest):
+        found = written(df, what, *rest)
+        made[what] = found.count()
+        return found
+
+    monkeypatch.setattr(common, "written", noted)
+    rng = random.Random(8)
+    word = lambda: f"x{rng.randrange(10**6)}"
+    shared = [word() for _ in range(60)]
+    rows = [(i, " ".join([word() for _ in range(60)] + shared)) for i in range(120)]
+    base = rows[0][1].split()
+    rows.append((120, " ".join(base[12:])))  # like the first one
+    got = {r["doc_id"]: r["component_id"] for r in similar.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == linked({i: set(five_words(t)) for i, t in rows}, 0.8)
+    assert got[120] == 0 and made["meetings"] <= 5  # of 7,000 pairs that share the passage
