@@ -61,7 +61,7 @@ FOUND = 0.987
 BLOCK = 16384
 #: Texts whose shingles are counted for the order, and in how many of them a frequent shingle is.
 SAMPLE, FREQUENT = 8192, 4
-#: Bits of a parity sketch; pairs that are gathered before they go on.
+#: Bits of a parity sketch at least; pairs that are gathered before they go on.
 SKETCH, GATHERED = 1024, 1 << 18
 #: Block pairs are broadcast up to so many heavy keys.
 FEW = 100_000
@@ -129,8 +129,41 @@ def head(h: np.ndarray, similarity: float, often: np.ndarray, times: np.ndarray)
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """Parity of the shingles that fall on each bit."""
-    return np.packbits(np.bincount((h >> np.uint64(54)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+    """Parity of the shingles that fall on each bit; as many bits as shingles at least, a power of two, so that long texts are told apart too."""
+    bits = max(SKETCH, 1 << max(len(h) - 1, 0).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+class Sketches:
+    """Sketches of several sizes side by side; the larger of two is folded onto the smaller."""
+
+    def __init__(self, sketches: np.ndarray):
+        self.size = np.array([len(x) for x in sketches], np.int64)
+        self.place = np.zeros(len(sketches), np.int64)
+        self.rows = {}
+        for k in np.unique(self.size).tolist():
+            of = np.flatnonzero(self.size == k)
+            self.place[of] = np.arange(len(of))
+            self.rows[k] = np.frombuffer(b"".join(sketches[of]), "<u8").reshape(len(of), -1)
+
+    def _folded(self, i: np.ndarray, size: int, to: int) -> np.ndarray:
+        x = self.rows[size][self.place[i]]
+        while size > to:
+            size //= 2
+            x = x[:, :x.shape[1] // 2] ^ x[:, x.shape[1] // 2:]
+        return x
+
+    def differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Differing bits of each pair."""
+        out = np.zeros(len(a), np.int64)
+        kinds, which = np.unique(np.column_stack([self.size[a], self.size[b]]), axis=0, return_inverse=True)
+        for k, (x, y) in enumerate(kinds.tolist()):
+            of = np.flatnonzero(which.reshape(-1) == k)
+            step = max(1, (1 << 24) // max(x, y))  # bytes at once
+            for lo in range(0, len(of), step):
+                i = of[lo:lo + step]
+                out[i] = np.bitwise_count(self._folded(a[i], x, min(x, y)) ^ self._folded(b[i], y, min(x, y))).sum(1, dtype=np.int64)
+        return out
 
 
 def frequent(docs: DataFrame, shingle: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -288,22 +321,21 @@ def links(distinct: DataFrame, most: int, tables: np.ndarray, block: int = 0) ->
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _whole(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[np.ndarray]:
-    """Rows sorted by their first two columns, g and pair, groups kept whole; a binary column after `columns` numbers is read as numbers."""
+def _whole(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of numbers sorted by their first two columns, g and pair, groups kept whole, and the binary column behind, if there is one."""
     held = None
     for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
-        if batch.num_columns > columns and batch.num_rows:
-            now.append(np.frombuffer(b"".join(batch.column(columns).to_pylist()), "<i8").reshape(batch.num_rows, -1))
-        now = np.column_stack(now)
-        if not len(now):
+        if not batch.num_rows:
             continue
-        now = now if held is None else np.concatenate([held, now])
+        now = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)])
+        more = np.array([b"", *(batch.column(columns).to_pylist() if batch.num_columns > columns else [])], object)[1:]
+        if held is not None:
+            now, more = np.concatenate([held[0], now]), np.concatenate([held[1], more])
         other = np.flatnonzero((now[:, 0] != now[-1, 0]) | (now[:, 1] != now[-1, 1]))
         cut = int(other[-1]) + 1 if len(other) else 0
-        held = now[cut:]
+        held = now[cut:], more[cut:]
         if cut:
-            yield now[:cut]
+            yield now[:cut], more[:cut]
     if held is not None:
         yield held
 
@@ -334,9 +366,9 @@ def _members(rows: np.ndarray, similarity: float) -> np.ndarray:
     return rows[some]
 
 
-def _meetings(rows: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows as in _admitted, with sketches behind, whose sketches admit the similarity too."""
-    rep, n, sketches = rows[:, 2], rows[:, 4], rows[:, 6:].view(np.uint64)
+def _meetings(rows: np.ndarray, sketches: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows as in _admitted whose sketches admit the similarity too."""
+    rep, n, of = rows[:, 2], rows[:, 4], Sketches(sketches)
     us, vs, held = [], [], 0
 
     def flush():
@@ -346,7 +378,7 @@ def _meetings(rows: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
 
     for a, b in _admitted(rows, similarity):
         both = n[a] + n[b]
-        ok = np.bitwise_count(sketches[a] ^ sketches[b]).sum(1, dtype=np.int64) <= both - 2 * least_shared(both, similarity)
+        ok = of.differing(a, b) <= both - 2 * least_shared(both, similarity)
         if ok.any():
             us.append(rep[a[ok]])
             vs.append(rep[b[ok]])
@@ -368,14 +400,14 @@ def missed(rows: DataFrame, nodes: DataFrame, similarity: float, often: np.ndarr
     gone: list[str] = []
 
     def gather(batches):
-        for now in _whole(batches, len(names)):
+        for now, _ in _whole(batches, len(names)):
             found = _members(now, similarity)
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found.T], names=names)
 
     def meet(batches):
         for now in _whole(batches, len(names)):
-            yield from _meetings(now, similarity)
+            yield from _meetings(*now, similarity)
 
     of = nodes.select(F.col("id").alias("_nid"), F.col("h").alias("_nh"), "rep", "root")
     sets = rows.select("id", "h", "n", "head", "sketch").join(of, (F.col("h") == F.col("_nh")) & F.col("id").eqNullSafe(F.col("_nid")))

@@ -606,3 +606,15 @@ def test_similar_makes_no_pairs_of_unlike_texts(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in similar.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == linked({i: set(five_words(t)) for i, t in rows}, 0.8)
     assert got[120] == 0 and made["meetings"] <= 5  # of 7,000 pairs that share the passage
+
+
+def test_sketches_tell_long_texts_apart():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, 20_000).astype(np.uint64)
+    sets = [pool[:6000], pool[600:6300], pool[3000:9000], pool[:4000], pool[500:], pool[:0]]
+    of = similar.Sketches(np.array([b"", *map(similar.sketch, sets)], object)[1:])
+    a, b = (x.reshape(-1) for x in np.indices((len(sets), len(sets))))
+    d, real = of.differing(a, b), np.array([len(set(sets[i].tolist()) ^ set(sets[j].tolist())) for i, j in zip(a, b)])
+    assert (d <= real).all()  # a bound, whatever the sizes
+    both = 12_000  # the first and the third share half of their shingles
+    assert d[2] > both - 2 * similar.least_shared(both, 0.8)
