@@ -44,20 +44,33 @@ SHARD_IDS = 1 << 20
 RULES_A_ROUND, LEAST = 256, 16
 #: Distinct chunks remembered per worker.
 CACHE_CHUNKS = 1_000_000
+#: New chunks that are encoded as one text.
+JOINED = 256
 MAGIC = b"RPG1"
 
 
+def _pairs(seq: np.ndarray, where: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """The adjacent pairs as numbers; of some places only, if these are given."""
+    return seq[:-1][where].astype(np.int64) << 32 | seq[1:][where]
+
+
 def _counted(seq: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct adjacent pairs as numbers and their counts."""
     return np.unique(seq[:-1].astype(np.int64) * base + seq[1:], return_counts=True)
 
 
-def _replace(seq: np.ndarray, base: int, pairs: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Every occurrence of the pairs (sorted), left to right, by its name."""
-    first, last = np.zeros(base, bool), np.zeros(base, bool)
-    first[pairs // base], last[pairs % base] = True, True
+def _frequent(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pairs that occur LEAST times and their counts."""
+    pairs, n = np.unique(pairs, return_counts=True)
+    return pairs[n >= LEAST], n[n >= LEAST]
+
+
+def _places(seq: np.ndarray, made: int, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pairs (sorted) are replaced, left to right, and which one is there."""
+    first, last = np.zeros(made, bool), np.zeros(made, bool)
+    first[pairs >> 32], last[pairs & 0xFFFFFFFF] = True, True
     where = np.flatnonzero(first[seq[:-1]] & last[seq[1:]])  # the few positions worth a search
-    key = seq[where].astype(np.int64) * base + seq[where + 1]
+    key = _pairs(seq, where)
     at = np.searchsorted(pairs, key)
     at[at == len(pairs)] = 0
     hit = pairs[at] == key
@@ -67,37 +80,62 @@ def _replace(seq: np.ndarray, base: int, pairs: np.ndarray, names: np.ndarray) -
         begin = np.maximum.accumulate(np.where(run, np.arange(len(where)), 0))
         keep = (np.arange(len(where)) - begin) % 2 == 0
         where, at = where[keep], at[keep]
+    return where, at
+
+
+def _replace(seq: np.ndarray, where: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The pairs at some places by their names."""
     out = seq.copy()
-    out[where] = names[at]
+    out[where] = names
     gone = np.ones(len(seq), bool)
     gone[where + 1] = False
     return out[gone]
 
 
+def _around(where: np.ndarray, steps: tuple[int, ...], pairs: int) -> np.ndarray:
+    """Distinct places of pairs next to some places."""
+    near = np.zeros(pairs, bool)
+    for k in steps:
+        i = where + k
+        near[i[(i >= 0) & (i < pairs)]] = True
+    return np.flatnonzero(near)
+
+
 def compress(ids: np.ndarray) -> bytes:
-    """Re-Pair one shard."""
+    """Re-Pair one shard.
+
+    Pairs are counted once. A replacement makes pairs with its new symbol only, all of them
+    in its round, and takes others away, so counts follow from the places around it, and
+    what once occurs less than LEAST times is never counted again.
+    """
     seq = ids.astype(np.uint32)
     base = int(seq.max()) + 1 if len(seq) else 0
     rules: list[np.ndarray] = []
     made = base
-    while len(seq) > 1:
-        pairs, n = _counted(seq, made)
+    pairs, n = _frequent(_pairs(seq))
+    while len(pairs):
         top = np.argpartition(-n, min(4 * RULES_A_ROUND, len(n)) - 1)[:4 * RULES_A_ROUND]
         top = top[np.lexsort((pairs[top], -n[top]))]
         firsts, lasts, chosen = set(), set(), []
-        for p, many in zip(pairs[top].tolist(), n[top].tolist()):
-            a, b = divmod(p, made)
-            if many < LEAST or len(chosen) == RULES_A_ROUND:
+        for p in pairs[top].tolist():
+            a, b = p >> 32, p & 0xFFFFFFFF
+            if len(chosen) == RULES_A_ROUND:
                 break
             if (a == b and (a in firsts or a in lasts)) or a in lasts or b in firsts:
                 continue
             firsts.add(a), lasts.add(b), chosen.append(p)
-        if not chosen:
-            break
-        pairs = np.sort(np.array(chosen, np.int64))
-        seq = _replace(seq, made, pairs, np.arange(made, made + len(pairs), dtype=np.uint32))
-        rules.append(np.column_stack(np.divmod(pairs, made)).astype("<u4"))
-        made += len(pairs)
+        best = np.sort(np.array(chosen, np.int64))
+        where, at = _places(seq, made, best)
+        lost = _pairs(seq, _around(where, (-1, 0, 1), len(seq) - 1))
+        seq = _replace(seq, where, (at + made).astype(np.uint32))
+        found = _frequent(_pairs(seq, _around(where - np.arange(len(where)), (-1, 0), len(seq) - 1)))
+        of = np.minimum(np.searchsorted(pairs, lost), len(pairs) - 1)
+        n = n - np.bincount(of[pairs[of] == lost], minlength=len(pairs))
+        pairs, n = (np.concatenate([x[n >= LEAST], y]) for x, y in zip((pairs, n), found))
+        order = np.argsort(pairs)
+        pairs, n = pairs[order], n[order]
+        rules.append(np.column_stack([best >> 32, best & 0xFFFFFFFF]).astype("<u4"))
+        made += len(best)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), "<u4")
     lengths = np.ones(made, np.uint32)
     for i, (a, b) in enumerate(table.tolist()):
@@ -150,6 +188,10 @@ class _Encoder:
         self.tool = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tool.get_vocab()
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # bytes of each id's token: a character of the byte-level alphabet each
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
 
     def many(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.known) > CACHE_CHUNKS:
@@ -159,13 +201,27 @@ class _Encoder:
         whole = {i: np.array(self.tool.encode(t, add_special_tokens=False).ids, "<u4") for i, t in enumerate(texts) if any(x in t for x in self.special)}
         cut = [[] if i in whole else chunks(t) for i, t in enumerate(texts)]
         new = list(set().union(*cut).difference(found))
-        long = []
+        long = [c for c in new if len(c) > CACHE_CHUNK_LEN]
+        joins = [len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() for c in new]
+        alone = [c for c, x in zip(new, joins) if not x]
+        new = [c for c, x in zip(new, joins) if x]  # these may follow one another: the library would cut between them
         for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
+            groups = [new[i:i + JOINED] for i in range(at, min(at + 4096, len(new)), JOINED)]
+            for part, e in zip(groups, self.tool.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                ends, wanted = np.cumsum(self.width[ids]), np.cumsum([len(c.encode()) for c in part])
+                i = np.searchsorted(ends, wanted)
+                if len(ids) and i[-1] < len(ids) and (ends[i] == wanted).all() and not any(x in "".join(part) for x in self.special):
+                    raw, last = ids.tobytes(), 0
+                    for c, k in zip(part, (4 * (i + 1)).tolist()):
+                        found[c] = raw[last:k]
+                        last = k
+                else:
+                    alone += part
+        for at in range(0, len(alone), 4096):
+            part = alone[at:at + 4096]
             for c, e in zip(part, self.tool.encode_batch_fast(part, add_special_tokens=False)):
                 found[c] = np.array(e.ids, "<u4").tobytes()
-                if len(c) > CACHE_CHUNK_LEN:
-                    long.append(c)
         for i, parts in enumerate(cut):
             yield whole[i] if i in whole else np.frombuffer(b"".join(map(found.__getitem__, parts)), "<u4")
         for c in long:

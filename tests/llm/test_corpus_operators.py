@@ -618,3 +618,37 @@ def test_sketches_tell_long_texts_apart():
     assert (d <= real).all()  # a bound, whatever the sizes
     both = 12_000  # the first and the third share half of their shingles
     assert d[2] > both - 2 * similar.least_shared(both, 0.8)
+
+
+def test_repair_counts_pairs_once(monkeypatch):
+    rng, sizes, unique = np.random.default_rng(6), [], np.unique
+    ids = (rng.zipf(1.3, 60_000) % 400).astype(np.uint32)
+    ids[5000:5400], ids[-50:] = 7, 9  # runs of one id
+
+    def noted(x, *rest, **more):
+        sizes.append(len(x))
+        return unique(x, *rest, **more)
+
+    monkeypatch.setattr(np, "unique", noted)
+    s = token_files.Shard(token_files.compress(ids))
+    monkeypatch.undo()
+    assert (s.span(0, len(ids)) == ids).all()
+    assert token_files._counted(s.seq, s.base + len(s.rules))[1].max() < token_files.LEAST
+    assert len(sizes) > 5 and sum(sizes) < 4 * len(ids)  # not the whole sequence in every round
+
+
+def test_chunks_encoded_together_are_as_alone():
+    tool = token_files._Encoder(public.path("byte_bpe_50k.json"))
+    texts = [*map(lambda t: t or "", TEXTS.values()), "é  ü a\u00a0b  c ", " x\u2003y z", "a b\n c\t\td e", "日本 語 テキスト \U0001f600 ok", "don't we'll  I'm", "x" * 90 + " y " + "z" * 80, " ", "a <|endoftext|> b <|endoftext|>"]
+    calls, library = [], tool.tool
+
+    class Noted:
+        def __getattr__(self, name):
+            if name == "encode_batch_fast":
+                return lambda part, **more: calls.append(len(part)) or library.encode_batch_fast(part, **more)
+            return getattr(library, name)
+
+    tool.tool = Noted()
+    got = [x.tolist() for x in tool.many(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(calls) < len(tool.known) / 3  # fewer texts than chunks
